@@ -1,11 +1,13 @@
 """The queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
+from .decontamination import op9_decontamination
 from .language_id import op1_language_id
 from .ngram_join import op3_ngram_jaccard_join
+from .substring_dedup import op2_substring_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard_join, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
