@@ -3,6 +3,7 @@
 from .decontamination import op9_decontamination
 from .html_text import op5_html_extraction
 from .language_id import op1_language_id
+from .lm_score import op10_lm_scoring
 from .mixing import mixing_sql, op8_mixing
 from .ngram_join import op3_ngram_jaccard_join
 from .quotes import SQL as QUOTES_SQL
@@ -11,7 +12,7 @@ from .substring_dedup import op2_substring_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op8_mixing, op9_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op8_mixing, op9_decontamination, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
