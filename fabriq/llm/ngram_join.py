@@ -9,9 +9,10 @@ that goes with the size band of x).  Missing shingles spoil all signatures only
 #rare + sum over subclasses of (size - 1) are missing, so the prefix is extended until that is m + 1: whichever of
 two linked sets has the shorter prefix, one of its signatures is among the other's as well.
 
-Candidates are verified on the whole sets.  Components need no link inside what is connected already: each
-bucket first links its members to one centre, components are built, and only pairs across components that still
-meet in a bucket follow.  So a group of thousands of copies costs as many checks as it has members, and no link is lost.
+Candidates are verified on the whole sets.  In buckets of up to ``frequent`` documents all pairs meet; where both
+prefixes are of rare shingles only, the count of those that are shared plus what lies beyond the prefix bounds the
+overlap, and most false pairs end there.  Larger buckets first link their members to one centre, components
+are built, and only pairs across components that still meet in a bucket follow.  So a group of thousands of copies costs as many checks as it has members, and no link is lost.
 
 Defined results: null, empty or word-free text: n_shingles 0, linked with nothing, component_id is its own id.  Rows
 with one id are one document.  A null id keeps its row, with a null component.  Other input columns are ignored.
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, buckets, connected_components, semi, slices
+from .common import Scratch, arrow_rows, buckets, semi, slices
+from .jaccard import components, linked
 from .words import mix, overlap, shingle_sets
 
 #: Bound on the frequent class, which is broadcast: 8 bytes each.  Beyond it the threshold on the count rises;
@@ -50,8 +52,8 @@ def _band(n: int, num: int, den: int) -> int:
     return int(np.floor(np.log(n) / np.log(den / num) + 1e-9))
 
 
-def signatures(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of one sorted set: rare shingles, then pairs of frequent ones within subclasses."""
+def signatures(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
+    """The signatures of one sorted set: rare shingles, then pairs of frequent ones within subclasses; whether the rare ones suffice."""
     need = _missing(len(s), num, den) + 1
     if len(hot):
         at = np.searchsorted(hot, s)
@@ -61,7 +63,7 @@ def signatures(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndarray
     else:
         rare, often = s, s[:0]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], True
     out = [rare]
     for band in (_band(len(s), num, den), _band(len(s), num, den) + 1):
         ways = np.uint64(max(1, int((den / num) ** band * (den - num) / den)))
@@ -78,7 +80,39 @@ def signatures(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndarray
             if len(g) > 1:
                 i, j = np.array(list(combinations(range(len(g)), 2))).T
                 out.append(mix(mix(g[i] + np.uint64(band)) ^ g[j]))
-    return np.concatenate(out)
+    return np.concatenate(out), False
+
+
+#: Added to the count of a pair whose shared signatures don't bound its overlap.
+_UNBOUNDED = 1 << 40
+
+
+def meetings(t: np.ndarray, i: np.ndarray, pure: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """(sig, id, 0, 0) for each member of a signature of more than most documents; (0, a, b, shared) for all pairs within the smaller ones."""
+    order = np.lexsort((i, t))
+    t, i, pure = t[order], i[order], pure[order]
+    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    sizes = np.diff(np.r_[starts, len(t)])
+    large = np.repeat(sizes > most, sizes)
+    a, b, ok = [], [], []
+    for k in np.unique(sizes[(sizes > 1) & (sizes <= most)]):
+        grid = starts[sizes == k][:, None] + np.arange(k)
+        x, y = np.triu_indices(k, 1)
+        a.append(i[grid[:, x]].ravel())
+        b.append(i[grid[:, y]].ravel())
+        ok.append((pure[grid[:, x]] & pure[grid[:, y]]).ravel())
+    none = np.zeros(int(large.sum()), np.int64)
+    if not a:
+        return t[large].view(np.int64), i[large], none, none
+    a, b, ok = np.concatenate(a), np.concatenate(b), np.concatenate(ok)
+    diff = a != b
+    a, b, c = a[diff], b[diff], np.where(ok[diff], 1, _UNBOUNDED)
+    order = np.lexsort((b, a))
+    a, b, c = a[order], b[order], c[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    c = np.add.reduceat(c, first) if len(a) else c
+    a, b = a[first], b[first]
+    return np.r_[t[large].view(np.int64), np.zeros(len(a), np.int64)], np.r_[i[large], a], np.r_[none, b], np.r_[none, c]
 
 
 def _blobs(buffer: list[tuple[np.ndarray, ...]], n: int):
@@ -166,29 +200,31 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = spark.sparkContext.broadcast(within(first))
 
     def if_hot(s: np.ndarray) -> np.ndarray:
-        hot = one.value
-        return s if overlap(s[: _missing(len(s), num, den) + 1], hot) else s[:0]
+        """What may take the place of frequent shingles in the prefix; all, where most of it is frequent."""
+        need = _missing(len(s), num, den) + 1
+        often = overlap(s[:need], one.value)
+        return s if 2 * often > need else s[: need + 2 * often] if often else s[:0]
 
     hot = one
     if len(one.value):
         second = often(reps, if_hot)
         hot = spark.sparkContext.broadcast(within(first, second))
 
-    pair_schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary())])
+    pair_schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("pure", pa.binary())])
 
     def signed(batches):
         buffer, held = [], 0
 
         def out():
             rows = list(_blobs(buffer, nb))
-            return arrow_rows(pair_schema, bucket=[k for k, _ in rows], tokens=[b[0] for _, b in rows], ids=[b[1] for _, b in rows])
+            return arrow_rows(pair_schema, bucket=[k for k, _ in rows], tokens=[b[0] for _, b in rows], ids=[b[1] for _, b in rows], pure=[b[2] for _, b in rows])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 for i, s in zip(part.column("id").to_pylist(), shingle_sets(part.column("text").to_pylist(), n)):
                     if len(s):
-                        sig = signatures(s, hot.value, num, den)
-                        buffer.append((sig, np.full(len(sig), i, np.int64)))
+                        sig, pure = signatures(s, hot.value, num, den)
+                        buffer.append((sig, np.full(len(sig), i, np.int64), np.full(len(sig), pure)))
                         held += len(sig)
                 if held > 500_000:
                     yield out()
@@ -196,19 +232,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if buffer:
             yield out()
 
-    member_schema = pa.schema([("sig", pa.int64()), ("id", pa.int64())])
+    met_schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
 
     def meet(got: pa.Table) -> pa.Table:
-        """Signatures that at least two documents have, with these documents."""
-        t = np.concatenate([np.frombuffer(b, np.uint64) for b in got.column("tokens").to_pylist()])
-        i = np.concatenate([np.frombuffer(b, np.int64) for b in got.column("ids").to_pylist()])
-        order = np.argsort(t, kind="stable")
-        t, i = t[order], i[order]
-        same = t[1:] == t[:-1]
-        keep = np.r_[same, False] | np.r_[False, same]
-        return pa.Table.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(i[keep])], schema=member_schema)
-
-    members = scratch.save(reps.mapInArrow(signed, "bucket int, tokens binary, ids binary").groupBy("bucket").applyInArrow(meet, "sig long, id long"), tidy=True)
+        t, i, pure = (np.concatenate([np.frombuffer(b, kind) for b in got.column(c).to_pylist()]) for c, kind in (("tokens", np.uint64), ("ids", np.int64), ("pure", bool)))
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in meetings(t, i, pure, frequent)], schema=met_schema)
+
+    met = scratch.save(reps.mapInArrow(signed, "bucket int, tokens binary, ids binary, pure binary").groupBy("bucket").applyInArrow(meet, "sig long, a long, b long, shared long"), tidy=True)
+    # Pairs of the smaller buckets: all meetings are counted, which bounds the overlap from above.
+    lens = scratch.save(keyed.where("n_shingles > 0").groupBy("id").agg(F.max("n_shingles").alias("n")))
+    need = lambda c: F.col(c) - F.ceil(F.col(c) * num / den) + 1
+    pairs = met.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = pairs.join(lens.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(lens.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = pairs.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
+    most = F.col("shared") + F.greatest(F.col("na") - need("na"), F.col("nb") - need("nb"))
+    pairs = scratch.save(pairs.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b"))
+    members = scratch.save(met.where("shared = 0").select("sig", F.col("a").alias("id")), tidy=True)
+    scratch.drop(met)
 
     sets_schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
@@ -217,51 +257,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, "text"):
                 yield arrow_rows(sets_schema, id=part.column("id"), tokens=[s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)])
 
-    ids = scratch.save(members.groupBy("id").agg(F.count("*").alias("uses")))
-    sets = scratch.save(semi(reps, ids.select("id"), "id").mapInArrow(whole, "id long, tokens binary"), tidy=True)
-
-    edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def verify(batches):
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]
-            good = []
-            for a, b, x, y in zip(*cols):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                    both = overlap(x, y)
-                    if den * both >= num * (len(x) + len(y) - both):
-                        good.append((a, b))
-            yield arrow_rows(edge_schema, a=[g[0] for g in good], b=[g[1] for g in good])
-
-    size = F.octet_length("tokens")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) that pass the exact check."""
-        lens = sets.select("id", size.alias("n"))
-        fit = pairs.join(lens.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(lens.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        fit = fit.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b")
-        both = fit.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-        return scratch.save(both.mapInArrow(verify, "a long, b long"), tidy=True)
-
-    # Each bucket's members to its centre: the member with the most shared signatures, as an original has of its copies.
-    ranked = members.join(ids, "id").withColumn("rank", F.struct(-F.col("uses"), "id"))
-    centre = ranked.groupBy("sig").agg(F.min("rank").getField("id").alias("c"))
-    star = members.join(centre, "sig").where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    wanted = scratch.save(members.select("id").union(pairs.select(F.col("a").alias("id"))).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = scratch.save(semi(reps, wanted, "id").mapInArrow(whole, "id long, tokens binary"), tidy=True)
+    small_links = linked(pairs, sets, scratch, num, den)
+    # rows with one id but several sets are one document
     several = keyed.where("digest is not null").groupBy("id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("id is not null and d0 != d1").select("id")
     same_id = keyed.join(several, "id").join(classes, "digest").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    edges = linked(star).union(scratch.save(same_id))
-    comps = scratch.save(connected_components(edges, scratch))
-
-    # What still meets across components: all such pairs that were not checked yet.
-    placed = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
-    open_ = scratch.save(placed.join(mixed, "sig"))
-    left, right = open_.select("sig", F.col("id").alias("p"), F.col("component").alias("cp")), open_.select("sig", F.col("id").alias("q"), F.col("component").alias("cq"))
-    rest = left.join(right, "sig").where("cp < cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = linked(rest)
-    comps = scratch.save(connected_components(edges.union(more), scratch))
+    comps = components(members, sets, scratch, num, den, also=small_links.union(same_id))
 
     # rows with equal sets share the class's component; rows with equal ids are one document
     rep_of = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("root"))
