@@ -9,10 +9,11 @@ from .ngram_join import op3_ngram_jaccard_join
 from .quotes import SQL as QUOTES_SQL
 from .quotes import op6_chat_formatting
 from .substring_dedup import op2_substring_dedup
+from .suffix_dedup import op7_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op8_mixing, op9_decontamination, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_suffix_dedup, op8_mixing, op9_decontamination, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
