@@ -145,9 +145,9 @@ def as_path_functions(f: Facts):
     return r.select("node", "tag", "network", F.size("path").alias("size"), text(fip.without_private_as(F.col("path"))).alias("public"), text(fip.prepend(F.col("path"), F.col("node") + 1)).alias("prepended"), F.array_contains("path", F.lit(65001).cast("long")).alias("has_65001"))
 
 
-@question("SELECT node, network, tag, array_to_string(list_sort(list_distinct(list_concat(list_filter([65000 * 65536 + tag % 9, 65001 * 65536 + tag % 4], lambda c: c % 65536 <> 3), [777]))), ' ') AS communities FROM route WHERE tag % 6 = 1")
+@question("SELECT node, network, tag, array_to_string(list_sort(list_distinct(list_concat(list_filter([65000::BIGINT * 65536 + tag % 9, 65001::BIGINT * 65536 + tag % 4], lambda c: c % 65536 <> 3), [777]))), ' ') AS communities FROM route WHERE tag % 6 = 1")
 def community_algebra(f: Facts):
-    own = F.array((F.lit(65000 * 65536) + F.col("tag") % 9), (F.lit(65001 * 65536).cast("long") + F.col("tag") % 4))
+    own = F.array((F.lit(65000 * 65536).cast("long") + F.col("tag") % 9), (F.lit(65001 * 65536).cast("long") + F.col("tag") % 4))
     kept = F.filter(own, lambda c: c % 65536 != 3)
     out = F.array_sort(F.array_union(kept, F.array(F.lit(777).cast("long"))))
     return f.route.where("tag % 6 = 1").select("node", "network", "tag", F.array_join(F.transform(out, lambda c: c.cast("string")), " ").alias("communities"))
