@@ -32,7 +32,7 @@ ORDERS = (5, 4, 3, 2, 1)
 
 
 def grams(word: str, n: int):
-    w = f" {word} "
+    w = f" {word} " if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
