@@ -31,6 +31,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
+#: Products or gathered neighbours that are held at once.
+CHUNK = 2_000_000
+
+
+def _dots(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """x[i] . y[j], a bounded part at a time."""
+    step = max(1, CHUNK // x.shape[1])
+    return np.concatenate([np.einsum("ij,ij->i", x[i[k : k + step]], y[j[k : k + step]]) for k in range(0, len(i), step)] or [np.zeros(0, x.dtype)])
+
+
 def centroids(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
     rnd = np.random.default_rng(seed)
     c = x[rnd.choice(len(x), k, replace=False)]
@@ -111,7 +121,7 @@ def search(x: np.ndarray, links: list[np.ndarray], reach: float, beam: int, most
             r, c = np.nonzero(fresh)
             qi, ni = act[r], nb[r, c]
             seen[qi, ni] = True
-            s = np.einsum("ij,ij->i", q[qi], x[ni])
+            s = _dots(q, x, qi, ni)
             hit = s >= reach
             found_q.append(qi[hit])
             found_i.append(ni[hit])
@@ -125,15 +135,19 @@ def search(x: np.ndarray, links: list[np.ndarray], reach: float, beam: int, most
         fq, fi = np.concatenate(found_q), np.concatenate(found_i)
         out_q, out_i = [fq], [fi]
         while len(fq):
-            nb = near[fi]
-            qi = np.repeat(fq, width)
-            ni = nb.ravel()
-            ok = (ni >= 0) & ~seen[qi, ni]
-            code = np.unique(qi[ok] * (n + 1) + ni[ok])
-            qi, ni = code // (n + 1), code % (n + 1)
-            seen[qi, ni] = True
-            hit = np.einsum("ij,ij->i", q[qi], x[ni]) >= reach
-            fq, fi = qi[hit], ni[hit]
+            step_q, step_i = [], []
+            for k in range(0, len(fq), CHUNK // width + 1):  # what is gathered at once is bounded
+                nb = near[fi[k : k + CHUNK // width + 1]]
+                qi = np.repeat(fq[k : k + CHUNK // width + 1], width)
+                ni = nb.ravel()
+                ok = (ni >= 0) & ~seen[qi, ni]
+                code = np.unique(qi[ok] * (n + 1) + ni[ok])
+                qi, ni = code // (n + 1), code % (n + 1)
+                seen[qi, ni] = True
+                hit = _dots(q, x, qi, ni) >= reach
+                step_q.append(qi[hit])
+                step_i.append(ni[hit])
+            fq, fi = np.concatenate(step_q), np.concatenate(step_i)
             out_q.append(fq)
             out_i.append(fi)
         qs.append(np.concatenate(out_q) + lo)
@@ -214,7 +228,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             if len(np.unique(block)) > 1:
                 ok &= block[a] != block[b]  # a block by itself is another task
             a, b = a[ok], b[ok]
-            dots = np.einsum("ij,ij->i", exact[a], exact[b])
+            dots = _dots(exact, exact, a, b)
             norms = np.linalg.norm(exact, axis=1)
             ok = dots / (norms[a] * norms[b]) >= least
             # a pair counts in the first shard that has both
