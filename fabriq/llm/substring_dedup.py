@@ -2,31 +2,39 @@
 
 Paragraphs are the lines of a text, and, because a repeated passage often stands inside other lines, also pieces whose
 ends are set by the words themselves (a word whose hash with its follower is the least within ``reach`` words on
-both sides begins a piece), so that one passage is cut alike wherever it stands.  Each paragraph of ``least_words``
-words or more has a MinHash over its five-word shingles; bands are tuned by ``tune`` for the wanted recall; colliding
-paragraphs are verified by exact Jaccard >= num/den, and components of them are one repeated passage.  The document with
-the smallest (id, position) keeps it; the others lose it, where neighbouring repeated paragraphs make up at least
-``run_words`` words.
-
-Defined results: null or empty text: no paragraph, nothing removed, text stays null or empty.  Rows with one id are one
-document.  Repeats inside one document stay.  Removed words go with the white space after them.
+both sides begins a piece), so that one passage is cut alike wherever it stands.  Each line of ``least_words`` words or
+more has a MinHash over its five-word shingles, in bands tuned by ``tune`` for the wanted recall; lines that collide are
+verified by exact Jaccard >= num/den, and components of them are one repeated passage.  Pieces, which are short, are
+one passage where they are equal.  The document with the smallest (id, position) keeps a passage; the others lose it, where
+neighbouring repeated paragraphs make up at least ``run_words`` words.
+
+Equal texts are one first.  Colliding lines are checked in blocks of ``block`` lines, each pair of blocks by itself, with a
+prefix filter inside, so a bucket of any size is spread, and a much changed copy meets no other.
+
+Defined results: null or empty text: no paragraph, nothing removed, text stays null or empty.  A row without id stays
+whole.  Rows with one id are never each other's source.  Repeats inside one document stay.  Removed words go with the
+white space after them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+from .common import BROADCAST_KEYS, Scratch, arrow_rows, buckets, connected_components, slices, table
+from .jaccard import EDGE, local_links
+from .suffix_dedup import _slide
+from .words import _SEP, _hash, chain, mix
 
-from .common import BROADCAST_KEYS, Scratch, arrow_rows, buckets, slices, table
-from .jaccard import components
-from .words import _hash, chain, mix, word_spans
+#: Marks a piece among the numbers of a document's paragraphs.
+PIECE = 1 << 30
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def tune(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
+def tune(similarity: float, recall: float, rows: int = 3) -> tuple[int, int]:
     """The least number of bands of ``rows`` MinHashes that finds pairs of the similarity with the recall."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -34,153 +42,226 @@ def tune(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
     return bands, rows
 
 
-def units(data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, reach: int, least_words: int) -> list[tuple[int, int]]:
-    """Word spans of the paragraphs: lines, then pieces, both in order; a span that is a line and a piece comes once."""
-    n = len(h)
-    if not n:
-        return []
-    lines = np.searchsorted(s, np.flatnonzero(data == 10))
-    cuts = np.unique(np.r_[0, lines, n])
-    mark = mix(h + (np.r_[h[1:], np.uint64(0)] << np.uint64(1)))
-    padded = np.r_[np.zeros(reach, np.uint64), mark, np.zeros(reach, np.uint64)]
-    low = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
-    least = low[:, :reach].min(axis=1) > mark
-    least &= low[:, reach + 1 :].min(axis=1) > mark
-    edges = np.unique(np.r_[0, np.flatnonzero(least), n])
-    out = [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= least_words]
-    known = set(out)
-    return out + [x for a, b in zip(edges[:-1], edges[1:]) if b - a >= least_words and (x := (int(a), int(b))) not in known]
-
-
-def _text(text: str | None, reach: int, least_words: int):
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    h, s, e = _hash(data) if len(data) else (np.zeros(0, np.uint64), *word_spans(data))
-    return data, h, s, e, units(data, h, s, e, reach, least_words)
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, recall: float = 0.98, reach: int = 5, least_words: int = 6, run_words: int = 15, n: int = 5) -> DataFrame:
-    """docs with text_col less what other documents have kept, and n_paragraphs, n_removed (paragraph spans), removed_words."""
+class Paragraphs:
+    """The words of some texts, and the spans of words (a to b) of their paragraphs: lines before pieces in each text."""
+
+    def __init__(self, texts: list[str | None], reach: int, least_words: int, piece: int = 1 << 21):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.begins = np.cumsum([0] + [len(r) + 1 for r in raw])
+        data = self.data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        hs, ss, es, lo = [], [], [], 0
+        while lo < len(data):
+            hi = min(len(data), lo + piece)
+            while hi < len(data) and not _SEP[data[hi]]:
+                hi += 1
+            h, s, e = _hash(data[lo:hi])
+            hs.append(h)
+            ss.append(s + lo)
+            es.append(e + lo)
+            lo = hi
+        self.h, self.s, self.e = np.concatenate(hs), np.concatenate(ss), np.concatenate(es)
+        n = len(self.h)
+        self.at = np.searchsorted(self.s, self.begins)  # words of text k: at[k] to at[k+1]
+        cuts = np.unique(np.r_[0, np.searchsorted(self.s, np.flatnonzero(data == 10)), n])
+        follow = np.r_[self.h[1:], np.zeros(min(n, 1), np.uint64)]
+        ends = self.at[1:][self.at[1:] > self.at[:-1]] - 1
+        follow[ends] = 0
+        mark = mix(self.h + (follow << np.uint64(1)))
+        # texts stand apart by reach places of 0, so that no piece begins so near a text's ends
+        text = np.searchsorted(self.at, np.arange(n), side="right") - 1
+        place = np.arange(n) + reach * (text + 1)
+        spread = np.zeros(n + reach * (len(texts) + 1), np.uint64)
+        spread[place] = mark
+        near = _slide(spread, reach, np.minimum)
+        least = (near[place - reach] > mark) & (near[np.minimum(place + 1, len(near) - 1)] > mark) if n else np.zeros(0, bool)
+        edges = np.unique(np.r_[self.at, np.flatnonzero(least), n])
+        la, lb = cuts[:-1], cuts[1:]
+        pa_, pb = edges[:-1], edges[1:]
+        keep = lb - la >= least_words
+        la, lb = la[keep], lb[keep]
+        keep = (pb - pa_ >= least_words) & ~np.isin(pa_ * (n + 1) + pb, la * (n + 1) + lb)
+        pa_, pb = pa_[keep], pb[keep]
+        a, b, kind = np.r_[la, pa_], np.r_[lb, pb], np.r_[np.zeros(len(la), np.int64), np.ones(len(pa_), np.int64)]
+        text = np.searchsorted(self.at, a, side="right") - 1
+        order = np.lexsort((a, kind, text))
+        self.a, self.b, self.kind, self.text = a[order], b[order], kind[order], text[order]
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def number(self) -> np.ndarray:
+        """Each paragraph's number in its text, with PIECE for pieces."""
+        return np.arange(len(self.a)) - self.first[self.text] + PIECE * self.kind
+
+    def content(self, pick: np.ndarray) -> np.ndarray:
+        """A hash of the whole word sequence of each of the picked paragraphs."""
+        p = np.full(len(self.h) + 1, np.uint64(0x9E3779B97F4A7C15))
+        p[0] = 1
+        p = np.multiply.accumulate(p)
+        inv = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        q = np.full(len(self.h) + 1, inv)
+        q[0] = 1
+        q = np.multiply.accumulate(q)
+        c = np.r_[np.uint64(0), np.cumsum(self.h * p[:-1])]
+        a, b = self.a[pick], self.b[pick]
+        return mix((c[b] - c[a]) * q[a] + (b - a).astype(np.uint64))
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, recall: float = 0.98, reach: int = 5, least_words: int = 6, run_words: int = 15, n: int = 5, block: int = 256) -> DataFrame:
+    """docs with text_col less what other documents have kept, and n_paragraphs, n_removed (runs of words), removed_words."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
     nb = buckets(spark)
     bands, rows = tune(num / den, recall)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    row_key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key.alias("key")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    # equal texts: the smallest id stands for all, the others lose what they have
+    digest = F.md5(F.col("text").cast("binary"))
+    texts = scratch.save(plain.select("id", "key", digest.alias("digest")))
+    classes = texts.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = scratch.save(texts.join(classes, "digest").where("id > rep").select("id", "key").distinct())
+    n_copies = copies.count()
+    single = plain.join(F.broadcast(copies) if n_copies <= BROADCAST_KEYS else copies, ["id", "key"], "left_anti")
     seeds = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(bands * rows)]
 
-    band_schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())])
+    band_schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
 
     def banded(batches):
         for batch in batches:
-            for part in slices(batch, "text", 3_000_000):
-                sigs, ids, ats = [], [], []
-                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    _, h, _, _, spans = _text(text, reach, least_words)
-                    if not spans:
-                        continue
-                    sh = chain(h, n)
-                    lo = np.array([a for a, _ in spans])
-                    hi = np.array([b for _, b in spans]) - n + 1
-                    # least of each span: reduceat over interleaved (start, end) pairs, the even entries being the spans
-                    pairs = np.c_[lo, hi].ravel()
-                    band = np.zeros((bands, len(spans)), np.uint64)
-                    for k, seed in enumerate(seeds):
-                        v = np.r_[mix(sh ^ seed), np.uint64(0)]
-                        band[k // rows] = mix(band[k // rows] + np.minimum.reduceat(v, pairs)[::2] + np.uint64(k))
-                    sigs.append(band.ravel())
-                    ids.append(np.full(band.size, i, np.int64))
-                    ats.append(np.tile(np.arange(len(spans), dtype=np.int32), bands))
-                if not sigs:
-                    continue
-                sig, i, at = np.concatenate(sigs), np.concatenate(ids), np.concatenate(ats)
+            for part in slices(batch, "text", 2_000_000):
+                p = Paragraphs(part.column("text").to_pylist(), reach, least_words)
+                number = p.number()
+                lines, pieces = np.flatnonzero(p.kind == 0), np.flatnonzero(p.kind == 1)
+                sigs, of = [p.content(pieces) if len(pieces) else np.zeros(0, np.uint64)], [pieces]
+                if len(lines):
+                    sh = chain(p.h, n)
+                    pairs = np.c_[p.a[lines], p.b[lines] - n + 1].ravel()  # the even entries of reduceat are the lines
+                    for b in range(bands):
+                        sig = np.full(len(lines), np.uint64(b + 1))
+                        for r in range(rows):
+                            v = np.r_[mix(sh ^ seeds[b * rows + r]), _MOST]
+                            sig = mix(sig + np.minimum.reduceat(v, pairs)[::2])
+                        sigs.append(sig)
+                        of.append(lines)
+                sig, of = np.concatenate(sigs), np.concatenate(of)
+                ids, keys = (np.array(part.column(c).to_pylist(), np.int64) for c in ("id", "key"))
                 where = ((sig >> np.uint64(20)) % np.uint64(nb)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
+                order = np.lexsort((of, where))
                 ends = np.searchsorted(where[order], np.arange(nb + 1))
-                out = [(k, sig[o].tobytes(), np.diff(i[o], prepend=0).tobytes(), at[o].tobytes()) for k in range(nb) if len(o := order[ends[k] : ends[k + 1]])]
-                cols = list(zip(*out))
-                yield arrow_rows(band_schema, bucket=cols[0], sigs=cols[1], ids=cols[2], at=cols[3])
+                out = []
+                for k in range(nb):
+                    o = order[ends[k] : ends[k + 1]]
+                    if len(o):
+                        text = p.text[of[o]]
+                        starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+                        count = np.diff(np.r_[starts, len(o)])
+                        out.append((k, sig[o].tobytes(), np.c_[ids[text[starts]], keys[text[starts]], count].tobytes(), number[of[o]].astype(np.int32).tobytes()))
+                if out:
+                    c = list(zip(*out))
+                    yield arrow_rows(band_schema, bucket=c[0], sigs=c[1], docs=c[2], at=c[3])
 
-    met_schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("at", pa.int32())])
+    met_schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
 
     def meet(got: pa.Table) -> pa.Table:
-        """Paragraphs whose band is that of a paragraph of another document."""
+        """Paragraphs that have a signature in common with another document's."""
         sig = np.concatenate([np.frombuffer(b, np.uint64) for b in got.column("sigs").to_pylist()])
-        i = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in got.column("ids").to_pylist()])
+        own = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in got.column("docs").to_pylist()])
         at = np.concatenate([np.frombuffer(b, np.int32) for b in got.column("at").to_pylist()])
+        own = np.repeat(own[:, :2], own[:, 2], axis=0)
         order = np.argsort(sig, kind="stable")
-        sig, i, at = sig[order], i[order], at[order]
+        sig, own, at = sig[order], own[order], at[order]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        mixed = np.minimum.reduceat(i, starts) != np.maximum.reduceat(i, starts) if len(i) else np.zeros(0, bool)
-        keep = np.repeat(mixed, np.diff(np.r_[starts, len(i)]))
-        return pa.Table.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(i[keep]), pa.array(at[keep])], schema=met_schema)
+        mixed = np.minimum.reduceat(own[:, 0], starts) != np.maximum.reduceat(own[:, 0], starts)
+        keep = np.repeat(mixed, np.diff(np.r_[starts, len(sig)]))
+        return pa.Table.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(own[keep, 0]), pa.array(own[keep, 1]), pa.array(at[keep])], schema=met_schema)
 
-    met = scratch.save(plain.mapInArrow(banded, "bucket int, sigs binary, ids binary, at binary").groupBy("bucket").applyInArrow(meet, "sig long, id long, at int"), tidy=True)
+    met = scratch.save(single.mapInArrow(banded, "bucket int, sigs binary, docs binary, at binary").groupBy("bucket").applyInArrow(meet, "sig long, id long, key long, at int"), tidy=True)
+    is_piece = F.col("at") >= PIECE
+    equal = met.where(is_piece)
+    keeper = equal.groupBy("sig").agg(F.min("id").alias("keeper"))
+    lost_pieces = equal.join(keeper, "sig").where("id != keeper").select("id", "key", (F.col("at") - PIECE).alias("at"))
 
-    def beside(refs: DataFrame) -> DataFrame:
-        """refs: a row of some columns per id; joined to the texts, by broadcast where refs is proven small."""
-        return F.broadcast(refs) if met.count() <= BROADCAST_KEYS else refs
-
-    wanted = scratch.save(met.groupBy("id").agg(F.collect_set("at").alias("ats")))
-    part_schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("content", pa.int64()), ("tokens", pa.binary())])
+    # Lines that met: their contents, one row for each different one from here on.
+    wanted = met.where(~is_piece).groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+    part_schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("content", pa.int64()), ("tokens", pa.binary())])
 
     def contents(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                out = []
-                for i, text, ats in zip(*(part.column(c).to_pylist() for c in ("id", "text", "ats"))):
-                    _, h, _, _, spans = _text(text, reach, least_words)
-                    sh = chain(h, n)
-                    for k in ats:
-                        if k < len(spans):
-                            a, b = spans[k]
-                            w = np.unique(sh[a : b - n + 1])
-                            body = mix(np.bitwise_xor.reduce(mix(w), keepdims=True) + np.uint64(len(w)) + w[:1])
-                            out.append((i, k, int(body.view(np.int64)[0]), w.tobytes()))
-                cols = list(zip(*out)) if out else [[], [], [], []]
-                yield arrow_rows(part_schema, id=cols[0], at=cols[1], content=cols[2], tokens=cols[3])
-
-    parts = scratch.save(plain.join(beside(wanted), "id").mapInArrow(contents, "id long, at int, content long, tokens binary"), tidy=True)
-    # equal paragraphs are one class: what follows has a row for each different one
-    classes = scratch.save(parts.groupBy(F.col("content").alias("id")).agg(F.first("tokens").alias("tokens"), F.min(F.struct("id", "at")).alias("first"), F.min("id").alias("lo"), F.max("id").alias("hi")))
-    members = scratch.save(met.join(parts.select("id", "at", "content"), ["id", "at"]).select("sig", F.col("content").alias("id")).distinct())
-    shared = members.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    comps = components(members.join(shared, "sig"), classes.select("id", "tokens"), scratch, num, den)
-    rooted = classes.join(comps, "id", "left").withColumn("root", F.coalesce("component", "id"))
-    keeper = rooted.groupBy("root").agg(F.min("first").getField("id").alias("keeper"), F.max("hi").alias("hi"), F.min("lo").alias("lo")).where("lo != hi")
-    lost = parts.select("id", "at", F.col("content")).join(rooted.select(F.col("id").alias("content"), "root"), "content").join(keeper, "root").where("id != keeper")
-    lost = scratch.save(lost.groupBy("id").agg(F.collect_set("at").alias("__lost")))
-
-    cut_fields = [f for f in docs.schema.fields if f.name != text_col]
-    from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+            for part in slices(batch, "text", 2_000_000):
+                p = Paragraphs(part.column("text").to_pylist(), reach, least_words)
+                sh = chain(p.h, n)
+                ats = part.column("ats").to_pylist()
+                text = np.repeat(np.arange(len(ats)), [len(x) for x in ats])
+                at = np.array([k for x in ats for k in x], np.int64)
+                pick = p.first[text] + at
+                content = p.content(pick).view(np.int64) if len(pick) else np.zeros(0, np.int64)
+                ids, keys = (np.array(part.column(c).to_pylist(), np.int64) for c in ("id", "key"))
+                tokens = [np.unique(sh[p.a[k] : p.b[k] - n + 1]).tobytes() for k in pick.tolist()]
+                yield arrow_rows(part_schema, id=ids[text], key=keys[text], at=at, content=content, tokens=tokens)
+
+    parts = scratch.save(single.join(wanted, ["id", "key"]).mapInArrow(contents, "id long, key long, at int, content long, tokens binary"), tidy=True)
+    lines = scratch.save(parts.groupBy("content").agg(F.first("tokens").alias("tokens"), F.min("id").alias("lo"), F.max("id").alias("hi")))
+    members = met.where(~is_piece).join(parts.select("id", "key", "at", "content"), ["id", "key", "at"]).select("sig", "content").distinct()
+    members = scratch.save(members)
+    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    spread = members.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("content", F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("task")).join(lines.select("content", "tokens"), "content")
+
+    def verify(got: pa.Table) -> pa.Table:
+        task, content, tokens = (got.column(c).to_pylist() for c in ("task", "content", "tokens"))
+        task = np.array(task)
+        order = np.argsort(task, kind="stable")
+        cuts = np.flatnonzero(np.diff(task[order])) + 1
+        a, b = [], []
+        for group in np.split(order, cuts):
+            for i, j in local_links([np.frombuffer(tokens[k], np.uint64) for k in group], num, den):
+                a.append(content[group[i]])
+                b.append(content[group[j]])
+        return pa.Table.from_batches([arrow_rows(EDGE, a=a, b=b)], EDGE)
+
+    edges = scratch.save(spread.groupBy(F.pmod("task", F.lit(8 * nb)).alias("bucket")).applyInArrow(verify, "a long, b long").distinct(), tidy=True)
+    comps = connected_components(edges, scratch).withColumnRenamed("id", "content")
+    rooted = lines.join(comps, "content", "left").select("content", "lo", "hi", F.coalesce("component", "content").alias("root"))
+    keeper = rooted.groupBy("root").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper != hi")
+    lost_lines = parts.select("id", "key", "at", "content").join(rooted.select("content", "root"), "content").join(keeper, "root").where("id != keeper").select("id", "key", "at")
+    lost = lost_lines.unionByName(lost_pieces).groupBy("id", "key").agg(F.collect_set("at").alias("__lost")).withColumn("__copy", F.lit(False))
+    lost = lost.unionByName(copies.select("id", "key", F.lit(None).cast("array<int>").alias("__lost"), F.lit(True).alias("__copy")))
+    lost = scratch.save(lost.withColumnsRenamed({"id": "__id", "key": "__key"}), tidy=True)
 
     schema = StructType([*(StructField(f.name, StringType()) if f.name == text_col else f for f in docs.schema.fields), StructField("n_paragraphs", IntegerType()), StructField("n_removed", IntegerType()), StructField("removed_words", LongType())])
     names = docs.columns
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
-                texts, totals, removed, gone = [], [], [], []
-                for text, ats in zip(part.column(text_col).to_pylist(), part.column("__lost").to_pylist()):
-                    data, h, s, e, spans = _text(text, reach, least_words)
-                    drop = np.zeros(len(h) + 1, bool)
-                    for k in ats or []:
-                        if k < len(spans):
-                            drop[spans[k][0] : spans[k][1]] = True
-                    turn = np.flatnonzero(np.diff(np.r_[False, drop[:-1], False].astype(np.int8)))
-                    runs = [(a, b) for a, b in zip(turn[::2], turn[1::2]) if b - a >= run_words]
-                    totals.append(len(spans))
-                    removed.append(len(runs))
-                    gone.append(int(sum(b - a for a, b in runs)))
-                    if runs:
-                        left, at = [], 0
-                        for a, b in runs:
-                            left.append(data[at : s[a]].tobytes())
-                            at = int(s[b]) if b < len(s) else len(data)
-                        text = (b"".join(left) + data[at:].tobytes()).decode("utf-8", "surrogatepass")
-                    texts.append(text)
+            for part in slices(batch, text_col, 2_000_000):
+                texts = part.column(text_col).to_pylist()
+                p = Paragraphs(texts, reach, least_words)
+                ats, whole = part.column("__lost").to_pylist(), part.column("__copy").to_pylist()
+                text = np.repeat(np.arange(len(texts)), [len(x or ()) for x in ats])
+                pick = p.first[text] + np.array([k for x in ats for k in x or ()], np.int64)
+                pick = np.r_[pick, np.flatnonzero(np.array([bool(w) for w in whole], bool)[p.text])] if len(p.text) else pick
+                deep = np.zeros(len(p.h) + 1, np.int64)
+                np.add.at(deep, p.a[pick], 1)
+                np.add.at(deep, p.b[pick], -1)
+                gone = np.cumsum(deep)[:-1] > 0
+                fresh = np.zeros(len(p.h), bool)
+                fresh[p.at[:-1][p.at[:-1] < len(p.h)]] = True
+                start = np.flatnonzero(gone & (fresh | ~np.r_[False, gone[:-1]]))
+                stop = np.flatnonzero(gone & np.r_[~gone[1:] | fresh[1:], np.ones(min(1, len(gone)), bool)]) + 1
+                ok = stop - start >= run_words
+                start, stop = start[ok], stop[ok]
+                of = np.searchsorted(p.at, start, side="right") - 1
+                removed, words = np.bincount(of, minlength=len(texts)), np.bincount(of, stop - start, len(texts)).astype(np.int64)
+                edge = np.searchsorted(of, np.arange(len(texts) + 1))
+                for k in np.flatnonzero(removed):
+                    left, at, end = [], int(p.begins[k]), int(p.begins[k + 1]) - 1
+                    for a, b in zip(start[edge[k] : edge[k + 1]], stop[edge[k] : edge[k + 1]]):
+                        left.append(p.data[at : p.s[a]].tobytes())
+                        at = int(p.s[b]) if b < p.at[k + 1] else end
+                    texts[k] = (b"".join(left) + p.data[at:end].tobytes()).decode("utf-8", "surrogatepass")
                 cols = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(totals, pa.int32()), pa.array(removed, pa.int32()), pa.array(gone, pa.int64())], names=[*names, "n_paragraphs", "n_removed", "removed_words"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(p.first), pa.int32()), pa.array(removed, pa.int32()), pa.array(words)], names=[*names, "n_paragraphs", "n_removed", "removed_words"])
 
-    joined = docs.join(beside(lost.withColumnRenamed("id", "__id")), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    joined = docs.withColumn("__row", row_key).join(lost, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__row") == F.col("__key")), "left").drop("__id", "__key", "__row")
     return joined.mapInArrow(cut, schema)
 
 
