@@ -32,6 +32,10 @@ from .words import mix, powers
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
 
 
+def _zstd(data: bytes) -> bytes:
+    return pa.CompressedInputStream(pa.BufferReader(data), "zstd").read()
+
+
 def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
     """f over each n neighbours of x (its length less n-1), by doubling."""
     have = 1
@@ -238,7 +242,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
         many = np.minimum.reduceat(i[order], starts) != np.maximum.reduceat(i[order], starts)
         keep = np.sort(order[np.repeat(many, np.diff(np.r_[starts, len(h)]))])
-        h, own = h[keep], own[keep]
+        h, own = h[keep].astype(np.uint32), own[keep]  # half of a hash: a wrong match lets a suffix in, and is no loss
         cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
         return pa.Table.from_arrays([pa.array(pairs[own[cuts], 0]), pa.array(keys[own[cuts]]), pa.array([x.tobytes() for x in np.split(h, cuts[1:])] if len(cuts) else [], pa.binary())], schema=shared_schema)
 
@@ -249,7 +253,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for i, k, t, hs in zip(*(part.column(c).to_pylist() for c in ("id", "key", "text", "h"))):
             data = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
             at, h = anchors(data, size, gram)
-            ok = np.isin(h, np.concatenate([np.frombuffer(b, np.uint64) for b in hs]))
+            ok = np.isin(h.astype(np.uint32), np.concatenate([np.frombuffer(b, np.uint32) for b in hs]))
             if ok.any():
                 yield contexts(data, at[ok], size, gram), i, k, at[ok]
 
@@ -268,7 +272,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     splits = [sample[len(sample) * j // nb] for j in range(1, nb)] if sample else []
     splits = np.array(sorted({s[:gram] for s in splits}), f"S{gram}")
 
-    run_schema = pa.schema([("bucket", pa.int32()), ("common", pa.binary()), ("rest", pa.binary()), ("n", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())])
+    run_schema = pa.schema([("bucket", pa.int32()), ("common", pa.binary()), ("rest", pa.binary()), ("n", pa.binary()), ("docs", pa.binary()), ("of", pa.binary()), ("places", pa.binary())])
 
     def runs(batches):
         held, total = [], 0
@@ -290,7 +294,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for a, b in zip(cuts[:-1], cuts[1:]):
                 common, rest = front_code(single[a:b])
                 lo, hi = starts[a], starts[b] if b < len(starts) else len(keys)
-                rows.append((int(where[a]), common.tobytes(), rest.tobytes(), n[a:b].astype(np.int64).tobytes(), ids[lo:hi].tobytes(), own[lo:hi].tobytes(), places[lo:hi].tobytes()))
+                # the documents of this part once, then which of them each suffix is of
+                docs_, of = np.unique(np.c_[ids[lo:hi], own[lo:hi]], axis=0, return_inverse=True)
+                parts = (common, rest, n[a:b].astype(np.uint32), docs_, of.ravel().astype(np.uint32), places[lo:hi])
+                rows.append((int(where[a]), *(pa.compress(x.tobytes(), "zstd", asbytes=True) for x in parts)))
             c = list(zip(*rows))
             return arrow_rows(run_schema, **dict(zip(run_schema.names, c)))
 
@@ -308,7 +315,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span_schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("spans", pa.binary())])
 
     def merged(got: pa.Table) -> pa.Table:
-        coded = [(np.frombuffer(c, np.uint8), np.frombuffer(r, np.uint8)) for c, r in zip(got.column("common").to_pylist(), got.column("rest").to_pylist())]
+        def unpacked(column, kind):
+            return [np.frombuffer(_zstd(b), kind) for b in got.column(column).to_pylist()]
+
+        coded = list(zip(unpacked("common", np.uint8), unpacked("rest", np.uint8)))
         decoded = [front_decode(c, r, width) for c, r in coded]
         strings = [np.ascontiguousarray(d).view(f"V{width}").ravel().tolist() for d in decoded]
         order, common = merge(strings, [c for c, _ in coded])
@@ -319,8 +329,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rank = np.empty(len(run), np.int64)
         for k in range(len(decoded)):
             rank[run == k] = base[k] + np.arange(sizes[k])
-        n = np.concatenate([np.frombuffer(b, np.int64) for b in got.column("n").to_pylist()])
-        ids, keys, places = (np.concatenate([np.frombuffer(b, np.int64) for b in got.column(c).to_pylist()]) for c in ("ids", "keys", "places"))
+        n = np.concatenate(unpacked("n", np.uint32)).astype(np.int64)
+        owners = np.concatenate([d.reshape(-1, 2)[of] for d, of in zip(unpacked("docs", np.int64), unpacked("of", np.uint32))])
+        ids, keys = owners[:, 0].copy(), owners[:, 1].copy()
+        places = np.concatenate(unpacked("places", np.int64))
         first = np.r_[0, np.cumsum(n)[:-1]]
         least = np.minimum.reduceat(ids, first)
         texts_ = np.concatenate(decoded)
@@ -347,7 +359,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cuts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
         return pa.Table.from_arrays([pa.array(rows[cuts, 0]), pa.array(rows[cuts, 1]), pa.array([x[:, 2:].tobytes() for x in np.split(rows, cuts[1:])] if len(cuts) else [], pa.binary())], schema=span_schema)
 
-    spans = scratch.save(work.mapInArrow(runs, "bucket int, common binary, rest binary, n binary, ids binary, keys binary, places binary").groupBy("bucket").applyInArrow(merged, "id long, key long, spans binary").groupBy("id", "key").agg(F.collect_list("spans").alias("spans")), tidy=True)
+    spans = scratch.save(work.mapInArrow(runs, "bucket int, common binary, rest binary, n binary, docs binary, of binary, places binary").groupBy("bucket").applyInArrow(merged, "id long, key long, spans binary").groupBy("id", "key").agg(F.collect_list("spans").alias("spans")), tidy=True)
 
     out_schema = StructType().add(id_col, docs.schema[id_col].dataType)
     for c in ("n_bytes", "n_removed", "n_spans"):
