@@ -11,11 +11,12 @@ two linked sets has the shorter prefix, one of its signatures is among the other
 
 Candidates are verified on the whole sets.  In buckets of up to ``frequent`` documents all pairs meet; where both
 prefixes are of rare shingles only, the count of those that are shared plus what lies beyond the prefix bounds the
-overlap, and most false pairs end there.  Larger buckets first link their members to one centre, components
+overlap, and most false pairs end there.  The documents of larger buckets are signed anew by the exact order of
+their shingles' counts among them.  What is still a larger bucket then first links its members to one centre, components
 are built, and only pairs across components that still meet in a bucket follow.  So a group of thousands of copies costs as many checks as it has members, and no link is lost.
 
 Defined results: null, empty or word-free text: n_shingles 0, linked with nothing, component_id is its own id.  Rows
-with one id are one document.  A null id keeps its row, with a null component.  Other input columns are ignored.
+with one id are one document: of several texts that with the least digest is compared, and all rows have its component.  A null id keeps its row, with a null component.  Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, buckets, semi, slices
+from .common import BROADCAST_KEYS, Scratch, arrow_rows, buckets, semi, slices, small
 from .jaccard import components, linked
 from .words import mix, overlap, shingle_sets
 
@@ -52,20 +53,24 @@ def _band(n: int, num: int, den: int) -> int:
     return int(np.floor(np.log(n) / np.log(den / num) + 1e-9))
 
 
-def signatures(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
-    """The signatures of one sorted set: rare shingles, then pairs of frequent ones within subclasses; whether the rare ones suffice."""
-    need = _missing(len(s), num, den) + 1
-    if len(hot):
-        at = np.searchsorted(hot, s)
-        at[at == len(hot)] = len(hot) - 1
-        often = hot[at] == s
-        rare, often = s[~often], s[often]
-    else:
-        rare, often = s, s[:0]
+def split(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of s that aren't in hot, and those that are."""
+    if not len(hot):
+        return s, s[:0]
+    at = np.searchsorted(hot, s)
+    at[at == len(hot)] = len(hot) - 1
+    often = hot[at] == s
+    return s[~often], s[often]
+
+
+def signatures(rare: np.ndarray, often: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
+    """The signatures of a set of rare and frequent members, each in their global order, and whether the rare ones suffice."""
+    size = len(rare) + len(often)
+    need = _missing(size, num, den) + 1
     if len(rare) >= need:
         return rare[:need], True
     out = [rare]
-    for band in (_band(len(s), num, den), _band(len(s), num, den) + 1):
+    for band in (_band(size, num, den), _band(size, num, den) + 1):
         ways = np.uint64(max(1, int((den / num) ** band * (den - num) / den)))
         group = mix(often) % ways
         # the prefix ends where the shingles that don't open a subclass make up what the rare ones lack
@@ -144,8 +149,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield arrow_rows(keys_schema, id=part.column("id"), n_shingles=[len(s) for s in sets], digest=[_digest(s) if len(s) else None for s in sets])
 
     keyed = scratch.save(docs.mapInArrow(keys, "id long, n_shingles long, digest binary"))
-    classes = scratch.save(keyed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = semi(docs, classes.select(F.col("rep").alias("id")).distinct(), "id")
+    # one set for each id, and one id for each set
+    own = scratch.save(keyed.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("digest")))
+    classes = scratch.save(own.groupBy("digest").agg(F.min("id").alias("rep")))
+    keys_ = classes.select(F.col("rep").alias("id"), "digest")
+    reps = docs.join(F.broadcast(keys_) if small(keys_, BROADCAST_KEYS // 4) else keys_, "id")
+
+    def sets_of(part):
+        """(id, set) of a slice's rows that stand for their class."""
+        for i, d, s in zip(part.column("id").to_pylist(), part.column("digest").to_pylist(), shingle_sets(part.column("text").to_pylist(), n)):
+            if len(s) and _digest(s) == d:
+                yield i, s
 
     blob = "bucket int, tokens binary"
     blob_schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary())])
@@ -161,8 +175,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             buffer, held = [], 0
             for batch in batches:
                 for part in slices(batch, "text"):
-                    for s in shingle_sets(part.column("text").to_pylist(), n):
-                        if len(s) and len(t := select(s)):
+                    for _, s in sets_of(part):
+                        if len(t := select(s)):
                             buffer.append((t,))
                             held += len(t)
                     if held > 1_000_000:
@@ -221,11 +235,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for i, s in zip(part.column("id").to_pylist(), shingle_sets(part.column("text").to_pylist(), n)):
-                    if len(s):
-                        sig, pure = signatures(s, hot.value, num, den)
-                        buffer.append((sig, np.full(len(sig), i, np.int64), np.full(len(sig), pure)))
-                        held += len(sig)
+                for i, s in sets_of(part):
+                    sig, pure = signatures(*split(s, hot.value), num, den)
+                    buffer.append((sig, np.full(len(sig), i, np.int64), np.full(len(sig), pure)))
+                    held += len(sig)
                 if held > 500_000:
                     yield out()
                     buffer, held = [], 0
@@ -240,14 +253,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     met = scratch.save(reps.mapInArrow(signed, "bucket int, tokens binary, ids binary, pure binary").groupBy("bucket").applyInArrow(meet, "sig long, a long, b long, shared long"), tidy=True)
     # Pairs of the smaller buckets: all meetings are counted, which bounds the overlap from above.
-    lens = scratch.save(keyed.where("n_shingles > 0").groupBy("id").agg(F.max("n_shingles").alias("n")))
+    lens = scratch.save(keyed.join(own, ["id", "digest"]).groupBy("id").agg(F.max("n_shingles").alias("n")))
     need = lambda c: F.col(c) - F.ceil(F.col(c) * num / den) + 1
-    pairs = met.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    pairs = pairs.join(lens.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(lens.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-    most = F.col("shared") + F.greatest(F.col("na") - need("na"), F.col("nb") - need("nb"))
-    pairs = scratch.save(pairs.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b"))
-    members = scratch.save(met.where("shared = 0").select("sig", F.col("a").alias("id")), tidy=True)
+
+    def counted(met: DataFrame) -> DataFrame:
+        pairs = met.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        pairs = pairs.join(lens.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(lens.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        pairs = pairs.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
+        most = F.col("shared") + F.greatest(F.col("na") - need("na"), F.col("nb") - need("nb"))
+        return scratch.save(pairs.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b"))
+
+    pairs = counted(met)
+    crowded = scratch.save(met.where("shared = 0").select(F.col("a").alias("id")).distinct(), tidy=True)
     scratch.drop(met)
 
     sets_schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
@@ -255,19 +272,66 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def whole(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield arrow_rows(sets_schema, id=part.column("id"), tokens=[s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)])
+                got = list(sets_of(part))
+                yield arrow_rows(sets_schema, id=[i for i, _ in got], tokens=[s.tobytes() for _, s in got])
+
+    wanted = scratch.save(crowded.union(pairs.select(F.col("a").alias("id"))).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = scratch.save(semi(reps, wanted, "id").mapInArrow(whole, "id long, tokens binary").dropDuplicates(["id"]), tidy=True)
+
+    # Documents of larger buckets are signed anew, in the order of how many of them have a shingle: what a copy has
+    # by itself comes first, so that a much changed copy, with enough of that, meets no other.
+    token_schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("df", pa.binary())])
+
+    def dealt(batches):
+        buffer, held = [], 0
+
+        def out():
+            rows = list(_blobs(buffer, nb))
+            return arrow_rows(token_schema, bucket=[k for k, _ in rows], tokens=[b[0] for _, b in rows], ids=[b[1] for _, b in rows], df=[None] * len(rows))
+
+        for batch in batches:
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("tokens").to_pylist()):
+                t = np.frombuffer(t, np.uint64)
+                buffer.append((t, np.full(len(t), i, np.int64)))
+                held += len(t)
+                if held > 500_000:
+                    yield out()
+                    buffer, held = [], 0
+        if buffer:
+            yield out()
 
-    wanted = scratch.save(members.select("id").union(pairs.select(F.col("a").alias("id"))).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = scratch.save(semi(reps, wanted, "id").mapInArrow(whole, "id long, tokens binary"), tidy=True)
+    def frequency(got: pa.Table) -> pa.Table:
+        """The tokens with how many documents have them, dealt out by document."""
+        t, i = (np.concatenate([np.frombuffer(b, kind) for b in got.column(c).to_pylist()]) for c, kind in (("tokens", np.uint64), ("ids", np.int64)))
+        _, inv, n = np.unique(t, return_inverse=True, return_counts=True)
+        rows = list(_blobs([(mix(i.view(np.uint64)), t, i, n[inv])], nb))
+        return pa.Table.from_batches([arrow_rows(token_schema, bucket=[k for k, _ in rows], tokens=[b[1] for _, b in rows], ids=[b[2] for _, b in rows], df=[b[3] for _, b in rows])], token_schema)
+
+    def resigned(got: pa.Table) -> pa.Table:
+        t, i, n = (np.concatenate([np.frombuffer(b, kind) for b in got.column(c).to_pylist()]) for c, kind in (("tokens", np.uint64), ("ids", np.int64), ("df", np.int64)))
+        order = np.lexsort((t, n, i))
+        t, i, n = t[order], i[order], n[order]
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        buffer = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(i)]):
+            rare = int(np.searchsorted(n[lo:hi], frequent, side="right"))
+            sig, pure = signatures(t[lo : lo + rare], t[lo + rare : hi], num, den)
+            buffer.append((sig, np.full(len(sig), i[lo]), np.full(len(sig), pure)))
+        rows = list(_blobs(buffer, nb))
+        return pa.Table.from_batches([arrow_rows(pair_schema, bucket=[k for k, _ in rows], tokens=[b[0] for _, b in rows], ids=[b[1] for _, b in rows], pure=[b[2] for _, b in rows])], pair_schema)
+
+    by_token = "bucket int, tokens binary, ids binary, df binary"
+    again = semi(sets, crowded, "id").mapInArrow(dealt, by_token).groupBy("bucket").applyInArrow(frequency, by_token)
+    again = again.groupBy("bucket").applyInArrow(resigned, "bucket int, tokens binary, ids binary, pure binary")
+    met = scratch.save(again.groupBy("bucket").applyInArrow(meet, "sig long, a long, b long, shared long"), tidy=True)
+    pairs = pairs.union(counted(met)).distinct()
+    members = scratch.save(met.where("shared = 0").select("sig", F.col("a").alias("id")))
     small_links = linked(pairs, sets, scratch, num, den)
-    # rows with one id but several sets are one document
-    several = keyed.where("digest is not null").groupBy("id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("id is not null and d0 != d1").select("id")
-    same_id = keyed.join(several, "id").join(classes, "digest").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    comps = components(members, sets, scratch, num, den, also=small_links.union(same_id))
-
-    # rows with equal sets share the class's component; rows with equal ids are one document
-    rep_of = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("root"))
-    out = keyed.join(rep_of, "digest", "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    comps = components(members, sets, scratch, num, den, also=small_links)
+
+    rep_of = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("root"))
+    rep_of = own.join(rep_of, "digest").select("id", "root")
+    out = keyed.join(rep_of, "id", "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
     return out.withColumnRenamed("id", id_col)
 
 
