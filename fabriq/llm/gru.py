@@ -102,10 +102,12 @@ class GRU:
         for _ in range(passes):
             flow = np.concatenate([docs[i] for i in rnd.permutation(len(docs))])
             before = np.r_[end, flow[:-1]]
-            steps = len(flow) // lanes
-            if not steps:
-                lanes, steps = 1, len(flow)
-            y, x = (v[: steps * lanes].reshape(lanes, steps).T for v in (flow, before))
+            if len(flow) < lanes:
+                lanes = 1
+            steps = -(-len(flow) // lanes)
+            rest = steps * lanes - len(flow)  # places after the flow's end, which teach nothing
+            y, x = (np.r_[v, np.full(rest, end, v.dtype)].reshape(lanes, steps).T for v in (flow, before))
+            real = (np.arange(steps * lanes) < len(flow)).reshape(lanes, steps).T
             h = np.zeros((lanes, hidden), np.float32)
             for lo in range(0, steps, window):
                 hi = min(steps, lo + window)
@@ -117,7 +119,9 @@ class GRU:
                     kept.append(k)
                     hs.append(h)
                 g = {k: np.zeros_like(v) for k, v in p.items() if k != "E"}
-                _, dh = self.log_probs(np.concatenate(hs), y[lo:hi].ravel(), g)
+                of = real[lo:hi].ravel()
+                dh = np.zeros((len(of), hidden), np.float32)
+                _, dh[of] = self.log_probs(np.concatenate(hs)[of], y[lo:hi].ravel()[of], g)
                 dh = dh.reshape(hi - lo, lanes, hidden)
                 carry = np.zeros((lanes, hidden), np.float32)
                 dx = np.empty((hi - lo, lanes, 3 * hidden), np.float32)

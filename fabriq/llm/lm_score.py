@@ -5,10 +5,10 @@ most frequent words; every other word belongs to a tail class by its shape (its
 that class has the probability (c + 1) / (sum over the class + 1), the last 1 being that of an unseen word.  So the
 score is a proper log10 probability of the whole text and can be compared with the base.
 
-The network is trained by truncated backpropagation on training documents drawn by the hash of their text: first in
-one task on at most ``first_tokens``, then in all partitions at once, each from that start, on a share of ``share`` of
-the corpus; the parts' weights are averaged by their tokens, so what is learned from grows with the corpus.  A
-document's state is carried through to its end, however long it is.
+The network is trained by truncated backpropagation on every training document with a text, ``passes`` times at any
+size of the corpus: first in one task on about ``first_tokens``, drawn by the hash of the text, then on all others in all
+partitions at once, each from that start; the parts' weights are averaged by their tokens.  A document's state is carried
+through to its end, however long it is.
 
 Counts of frequent tokens are broadcast (``TOP`` at most); those of the rest are met by hash bucket.
 
@@ -76,7 +76,7 @@ def _deal(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(where[order], np.arange(n + 1))
 
 
-def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 2_048, n_classes: int = 64, hidden: int = 24, first_tokens: int = 1_000_000, share: float = 1 / 40) -> DataFrame:
+def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 2_048, n_classes: int = 64, hidden: int = 24, first_tokens: int = 1_000_000, passes: int = 3) -> DataFrame:
     """(id_col, training, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -172,7 +172,7 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
         k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return np.where(keys[k] == h, ids[k], len(keys) + g.astype(np.int32)).astype(np.int32)
 
-    # Training: documents by the hash of their text, as the share asks for.
+    # Training: documents by the hash of their text, first those of the start, then all others.
     chance = F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1_000_000)) / 1_000_000
     weights_schema = pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
     names = sorted(model.p)
@@ -189,7 +189,7 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
             lo += size
         return out
 
-    def trainer(start, passes: int, rate: float):
+    def trainer(start, rate: float):
         shared = spark.sparkContext.broadcast((pack(start), cls, sizes, lookup))
 
         def run(batches):
@@ -225,12 +225,12 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     if N:
         first = min(1.0, first_tokens / N)
         small = learn.where(F.col("chance") < first).select("text").coalesce(1)
-        got = small.mapInArrow(trainer(model.p, 3 if N < first_tokens else 1, 0.08), weights).collect()
+        got = small.mapInArrow(trainer(model.p, 0.08), weights).collect()
         if got:
             model.p = unpack(np.frombuffer(got[0]["weights"], np.float32))
         if first < 1:
-            more = learn.where((F.col("chance") >= first) & (F.col("chance") < first + share)).select("text")
-            got = more.mapInArrow(trainer(model.p, 1, 0.02), weights).groupBy("part").applyInArrow(mean, weights).collect()  # 16 rows at most
+            more = learn.where(F.col("chance") >= first).select("text")
+            got = more.mapInArrow(trainer(model.p, 0.02), weights).groupBy("part").applyInArrow(mean, weights).collect()  # 16 rows at most
             if got:
                 total = sum(r["tokens"] for r in got)
                 model.p = unpack(sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["tokens"] for r in got) / total)

@@ -375,3 +375,21 @@ def test_lm_scores(spark, rows):
     none = lm_score.lm_score(df, F.lit(False)).collect()
     assert all(r["train_tokens"] == 0 and r["base_score"] == 0 for r in none)
     assert lm_score.lm_score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_lm_learns_from_every_training_document(spark):
+    """What the start leaves out is learned from too: the order of words, which counts don't tell, is known at any first_tokens."""
+    rnd = random.Random(14)
+    df = docs_of(spark, [(k, " ".join(f"{a} {a}x {a}y" for a in rnd.choices("bcdfgklm", k=40))) for k in range(400)])
+    gain = lambda **how: lm_score.lm_score(df, F.col("doc_id") % 5 != 2, **how).where("not training").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0]
+    some, every = gain(first_tokens=400), gain()
+    assert some > 0.2 * every > 0
+
+
+def test_lm_training_uses_every_token():
+    ids = np.arange(100, dtype=np.int32)
+    cls, _, sizes = gru.classes(np.ones(101), 8)
+    net = gru.GRU.init(cls, sizes, 1, 4, np.ones(102))
+    was = {k: v.copy() for k, v in net.p.items()}
+    net.train([np.r_[ids, 100].astype(np.int32)], 100)
+    assert (net.p["w"] != was["w"])[:100].all() and (net.p["E"] != was["E"]).any(axis=1)[:100].all()
