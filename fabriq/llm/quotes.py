@@ -3,7 +3,9 @@ r"""Chat formatting by quotation linking.  DataFrame functions only.
 A line's quote level is the number of ``>`` before its text (blanks between them allowed).  Consecutive lines of one level are a
 passage; an attribution line (``On ... wrote:``) right before a deeper passage goes with it.  Quoted passages are
 hashed in normalised form (lower case, white space runs as one space, trimmed) and joined to the first message of the
-conversation that says the same by itself: as its whole text, or as a block between blank lines, or as a line.
+conversation that says the same by itself: as its whole text, or as a block between blank lines, or as a line; a
+passage that no earlier message says so is joined to the first one that has it as a run of whole lines, however the quote
+is wrapped (partial quotes of more than one line; SQL lacks this step, so the two differ where there are such quotes).
 A message replies to the original of its outermost quoted passage that has one (the latest turn among several of
 one level); with none, to the turn before it.  The first reply to a message continues its branch, a later one opens a
 branch of its own; a conversation reads branch by branch, by turn within a branch, so that replies follow what
@@ -26,6 +28,8 @@ from .common import Scratch, table
 
 MARK = r"^[ \t]*>[ \t>]*"
 ATTRIBUTION = r"^[ \t]*On [^\n]{1,200} wrote:[ \t\r]*$"
+#: Numbers of first words by which a partial quote finds the lines that it may begin with.
+ANCHORS = (1, 2, 4, 8)
 #: Turns a block holds.
 BLOCK = 256
 
@@ -52,27 +56,51 @@ def passages(text: Column) -> Column:
     return F.aggregate(marked, none, add)
 
 
+def runs(left: DataFrame, said: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, hash, turn): messages of said (conv_id, turn, text) that have a passage of left (conv_id, hash, norm) as a run of lines."""
+    left = left.select("conv_id", "hash", "norm").distinct().withColumn("words", F.split("norm", " "))
+    k = F.coalesce(*(F.when(F.size("words") >= n, n) for n in reversed(ANCHORS)))
+    left = left.select("conv_id", "hash", "norm", F.size("words").alias("n"), F.xxhash64(k, F.array_join(F.slice("words", 1, k), " ")).alias("anchor"))
+    lines = F.filter(F.transform(F.split("text", "\n"), normal), lambda x: x != "")
+    texts = said.join(left.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.xxhash64("text").alias("key"), lines.alias("lines")).where("size(lines) > 0")
+    texts = scratch.save(texts.dropDuplicates(["conv_id", "turn", "key"]))
+    # lines' beginnings without their texts, which only those that a passage may begin with fetch again
+    ahead = lambda i: F.split(F.array_join(F.slice("lines", i, max(ANCHORS)), " "), " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.struct(i.alias("i"), ahead(i).alias("w")))
+    begins = texts.select("conv_id", "turn", "key", F.explode(begins).alias("b")).select("conv_id", "turn", "key", "b.i", F.explode(F.array(*(F.xxhash64(F.lit(n), F.array_join(F.slice("b.w", 1, n), " ")) for n in ANCHORS))).alias("anchor"))
+    got = begins.distinct().join(left, ["conv_id", "anchor"]).join(texts, ["conv_id", "turn", "key"])
+    run = F.concat(F.array_join(F.slice("lines", F.col("i"), F.col("n")), "\n"), F.lit("\n"))  # n words stand in n lines at most
+    same = (F.substr(F.translate(run, "\n", " "), F.lit(1), F.length("norm")) == F.col("norm")) & (F.substr(run, F.length("norm") + 1, F.lit(1)) == "\n")
+    return got.where(same).select("conv_id", "hash", "turn")
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, parent_turn, branch, n_quoted, n_linked, formatted), a row for each message row."""
     scratch = Scratch(messages.sparkSession, "quotes")
     m = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("raw"))
     quoting = F.coalesce(F.col("raw").rlike("(?m)" + MARK), F.lit(False))
-    plain = m.where(~quoting).withColumn("quoted", F.expr("cast(array() as array<struct<level:int,hash:string>>)")).withColumn("text", F.col("raw"))
+    plain = m.where(~quoting).withColumn("quoted", F.expr("cast(array() as array<struct<level:int,hash:string,norm:string>>)")).withColumn("text", F.col("raw"))
     parsed = m.where(quoting).withColumn("parts", passages(F.col("raw")))
     own = F.array_join(F.transform(F.filter("parts", lambda p: (p["level"] == 0) & p["body"].isNotNull()), lambda p: p["body"]), "\n")
-    hashes = F.transform(F.filter("parts", lambda p: (p["level"] > 0) & (normal(p["body"]) != "")), lambda p: F.struct(p["level"].alias("level"), F.md5(normal(p["body"]).cast("binary")).alias("hash")))
+    hashes = F.transform(F.filter("parts", lambda p: (p["level"] > 0) & (normal(p["body"]) != "")), lambda p: F.struct(p["level"].alias("level"), F.md5(normal(p["body"]).cast("binary")).alias("hash"), normal(p["body"]).alias("norm")))
     parsed = parsed.withColumn("quoted", hashes).withColumn("text", F.trim(own, F.lit(" \t\r\n"))).drop("parts")
     said = scratch.save(plain.unionByName(parsed).drop("raw"))
 
     where = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    quotes = scratch.save(said.where(where & (F.size("quoted") > 0)).select("conv_id", "turn", F.explode(F.array_distinct("quoted")).alias("q")).select("conv_id", "turn", "q.level", "q.hash"))
+    quotes = scratch.save(said.where(where & (F.size("quoted") > 0)).select("conv_id", "turn", F.explode(F.array_distinct("quoted")).alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.norm"))
     convs = quotes.select("conv_id").distinct()
     # only conversations with quotes need an index of what was said; semi join before the texts are cut
     speech = said.join(convs, "conv_id", "left_semi").where(where)
     pieces = F.array_union(F.array("text"), F.array_union(F.split("text", r"\n[ \t\r]*\n"), F.split("text", "\n")))
     index = speech.select("conv_id", "turn", F.explode(pieces).alias("piece")).withColumn("n", normal(F.col("piece"))).where("n != ''")
     index = index.groupBy("conv_id", F.md5(F.col("n").cast("binary")).alias("hash")).agg(F.min("turn").alias("origin"))
-    found = quotes.join(index, ["conv_id", "hash"]).where("origin < turn")
+    found = quotes.join(index, ["conv_id", "hash"]).where("origin < turn").select("conv_id", "turn", "level", "hash", "origin")
+    if not quotes.isEmpty():
+        found = scratch.save(found)
+        left = scratch.save(quotes.join(found.select("conv_id", "turn", "hash"), ["conv_id", "turn", "hash"], "left_anti"))
+        if not left.isEmpty():
+            begun = runs(left, speech, scratch).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+            found = found.unionByName(left.join(begun, ["conv_id", "hash"]).where("origin < turn").select("conv_id", "turn", "level", "hash", "origin"))
     linked = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", -F.col("origin"))).alias("best"), F.count_distinct("hash").alias("n_linked"))
     linked = scratch.save(linked.select("conv_id", "turn", (-F.col("best.col2")).alias("quoted_turn"), "n_linked"))
 

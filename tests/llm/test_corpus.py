@@ -318,6 +318,20 @@ def test_quotes(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_partial_quotes(spark):
+    """Runs of lines of an original, cut, re-wrapped or between quotes; lines that it has in another order or not whole are none."""
+    rows = [
+        (1, 0, "one two\nThree four\nfive six"), (1, 1, "first block\nof it\n\nsecond\n\nthird block"), (1, 2, "> other\nyes so\nand so\n> other\nlast words"),
+        (1, 3, "plain"), (1, 4, "> one two\n> three four\na"), (1, 5, "> first block\n> of it\n>\n> second\nb"), (1, 6, "> yes so\n> and so\nc"),
+        (1, 7, "> Three\n> four five\n> six\nd"), (1, 8, "> three four\n> one two\ne"), (1, 9, "> two\n> three four\nf"), (1, 10, "> three four\n> five\ng"), (1, 11, "> later one\n> later two\nh"), (1, 12, "later one\nlater two\nlater three"),
+        (2, 0, "else"), (2, 1, "> one two\n> three four\ni"),
+    ]
+    df = spark.createDataFrame([(*r[:2], "user", r[2]) for r in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_linked"]) for r in quotes.link_quotes(df).collect()}
+    assert [got[1, k] for k in (4, 5, 6, 7)] == [(0, 1), (1, 1), (2, 1), (0, 1)]
+    assert [got[1, k] for k in (8, 9, 10, 11)] == [(7, 0), (8, 0), (9, 0), (10, 0)] and got[2, 1] == (0, 0)
+
+
 def test_mixing(spark):
     rnd = random.Random(11)
     rows = [(k, text(rnd, rnd.randrange(0, 30)), rnd.choice(["en", "de", None]), f"src{k % 5}") for k in range(300)] + [(5, "same same", "en", "src0")] * 2 + [(None, "no id", "en", None), (999, None, "en", "src1")]
