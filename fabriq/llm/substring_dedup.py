@@ -5,8 +5,10 @@ ends are set by the words themselves (a word whose hash with its follower is the
 both sides begins a piece), so that one passage is cut alike wherever it stands.  Each line of ``least_words`` words or
 more has a MinHash over its five-word shingles, in bands tuned by ``tune`` for the wanted recall; lines that collide are
 verified by exact Jaccard >= num/den, and components of them are one repeated passage.  Pieces, which are short, are
-one passage where they are equal.  The document with the smallest (id, position) keeps a passage; the others lose it, where
-neighbouring repeated paragraphs make up at least ``run_words`` words.
+one passage where they are equal.  Pieces end at marks, not where a repeat ends, so every run of ``run_words`` words that
+a document with a smaller id has is found too: of each such run the least ``least_words``-gram (the last of equal ones) is a
+seed, and around seeds that two documents have, all runs are compared by equality.  The document with the smallest (id, position)
+keeps a passage; the others lose it to its exact ends, where neighbouring repeats make up at least ``run_words`` words.
 
 Equal texts are one first.  Colliding lines are checked in blocks of ``block`` lines, each pair of blocks by itself, with a
 prefix filter inside, so a bucket of any size is spread, and a much changed copy meets no other.
@@ -91,6 +93,26 @@ class Paragraphs:
         """Each paragraph's number in its text, with PIECE for pieces."""
         return np.arange(len(self.a)) - self.first[self.text] + PIECE * self.kind
 
+    def seeds(self, k: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words at which the least k-gram of any run of words inside one text begins, and these k-grams' hashes."""
+        starts = self.starts(run)
+        if not len(starts):
+            return starts, np.zeros(0, np.uint64)
+        grams = mix(chain(self.h, k) + np.uint64(k))
+        width = run - k + 1
+        view = np.lib.stride_tricks.sliding_window_view(grams, width)[:, ::-1]
+        at = np.unique(starts + width - 1 - np.concatenate([view[x].argmin(axis=1) for x in np.array_split(starts, 1 + len(starts) // 100_000)]))
+        return at, grams[at]
+
+    def starts(self, run: int) -> np.ndarray:
+        """Words at which a run inside one text begins."""
+        i = np.arange(max(0, len(self.h) - run + 1))
+        return i[i + run <= self.at[self.owner(i) + 1]]
+
+    def owner(self, words: np.ndarray) -> np.ndarray:
+        """The text of each of the words."""
+        return np.searchsorted(self.at, words, side="right") - 1
+
     def content(self, pick: np.ndarray) -> np.ndarray:
         """A hash of the whole word sequence of each of the picked paragraphs."""
         p = np.full(len(self.h) + 1, np.uint64(0x9E3779B97F4A7C15))
@@ -120,7 +142,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = scratch.save(texts.join(classes, "digest").where("id > rep").select("id", "key").distinct())
     n_copies = copies.count()
     single = plain.join(F.broadcast(copies) if n_copies <= BROADCAST_KEYS else copies, ["id", "key"], "left_anti")
-    seeds = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(bands * rows)]
+    salts = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(bands * rows)]
+
+    def dealt(sig, text, at, part):
+        """Signatures by bucket, with their documents and places."""
+        ids, keys = (np.array(part.column(c).to_pylist(), np.int64) for c in ("id", "key"))
+        where = ((sig >> np.uint64(20)) % np.uint64(nb)).astype(np.int64)
+        order = np.lexsort((at, text, where))
+        ends = np.searchsorted(where[order], np.arange(nb + 1))
+        out = []
+        for k in range(nb):
+            o = order[ends[k] : ends[k + 1]]
+            if len(o):
+                own = text[o]
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                count = np.diff(np.r_[starts, len(o)])
+                out.append((k, sig[o].tobytes(), np.c_[ids[own[starts]], keys[own[starts]], count].tobytes(), at[o].astype(np.int32).tobytes()))
+        if out:
+            c = list(zip(*out))
+            yield arrow_rows(band_schema, bucket=c[0], sigs=c[1], docs=c[2], at=c[3])
 
     band_schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
 
@@ -137,26 +177,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     for b in range(bands):
                         sig = np.full(len(lines), np.uint64(b + 1))
                         for r in range(rows):
-                            v = np.r_[mix(sh ^ seeds[b * rows + r]), _MOST]
+                            v = np.r_[mix(sh ^ salts[b * rows + r]), _MOST]
                             sig = mix(sig + np.minimum.reduceat(v, pairs)[::2])
                         sigs.append(sig)
                         of.append(lines)
-                sig, of = np.concatenate(sigs), np.concatenate(of)
-                ids, keys = (np.array(part.column(c).to_pylist(), np.int64) for c in ("id", "key"))
-                where = ((sig >> np.uint64(20)) % np.uint64(nb)).astype(np.int64)
-                order = np.lexsort((of, where))
-                ends = np.searchsorted(where[order], np.arange(nb + 1))
-                out = []
-                for k in range(nb):
-                    o = order[ends[k] : ends[k + 1]]
-                    if len(o):
-                        text = p.text[of[o]]
-                        starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                        count = np.diff(np.r_[starts, len(o)])
-                        out.append((k, sig[o].tobytes(), np.c_[ids[text[starts]], keys[text[starts]], count].tobytes(), number[of[o]].astype(np.int32).tobytes()))
-                if out:
-                    c = list(zip(*out))
-                    yield arrow_rows(band_schema, bucket=c[0], sigs=c[1], docs=c[2], at=c[3])
+                of = np.concatenate(of)
+                at, grams = p.seeds(least_words, run_words)
+                own = p.owner(at)
+                # the places of runs and seeds are below zero
+                yield from dealt(np.concatenate([*sigs, grams]), np.r_[p.text[of], own], np.r_[number[of], p.at[own] - at - 1], part)
 
     met_schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
 
@@ -174,13 +203,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(own[keep, 0]), pa.array(own[keep, 1]), pa.array(at[keep])], schema=met_schema)
 
     met = scratch.save(single.mapInArrow(banded, "bucket int, sigs binary, docs binary, at binary").groupBy("bucket").applyInArrow(meet, "sig long, id long, key long, at int"), tidy=True)
-    is_piece = F.col("at") >= PIECE
+    is_piece, is_line = F.col("at") >= PIECE, (F.col("at") >= 0) & (F.col("at") < PIECE)
     equal = met.where(is_piece)
     keeper = equal.groupBy("sig").agg(F.min("id").alias("keeper"))
     lost_pieces = equal.join(keeper, "sig").where("id != keeper").select("id", "key", (F.col("at") - PIECE).alias("at"))
 
+    # Seeds that met: the runs around them.
+    seeded = met.where("at < 0").groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+
+    def around(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 2_000_000):
+                p = Paragraphs(part.column("text").to_pylist(), reach, least_words)
+                near = np.zeros(len(p.h) + 1, bool)
+                near[np.concatenate([p.at[k] - 1 - np.array(x, np.int64) for k, x in enumerate(part.column("ats").to_pylist())])] = True
+                starts = p.starts(run_words)
+                total = np.r_[0, np.cumsum(near)]
+                starts = starts[total[starts + run_words - least_words + 1] > total[starts]]
+                if len(starts):
+                    own = p.owner(starts)
+                    yield from dealt(mix(chain(p.h, run_words)[starts]), own, p.at[own] - starts - 1, part)
+
+    again = scratch.save(single.join(seeded, ["id", "key"]).mapInArrow(around, "bucket int, sigs binary, docs binary, at binary").groupBy("bucket").applyInArrow(meet, "sig long, id long, key long, at int"), tidy=True)
+    lost_runs = again.join(again.groupBy("sig").agg(F.min("id").alias("keeper")), "sig").where("id != keeper").select("id", "key", "at")
+
     # Lines that met: their contents, one row for each different one from here on.
-    wanted = met.where(~is_piece).groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+    wanted = met.where(is_line).groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
     part_schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("content", pa.int64()), ("tokens", pa.binary())])
 
     def contents(batches):
@@ -199,7 +247,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts = scratch.save(single.join(wanted, ["id", "key"]).mapInArrow(contents, "id long, key long, at int, content long, tokens binary"), tidy=True)
     lines = scratch.save(parts.groupBy("content").agg(F.first("tokens").alias("tokens"), F.min("id").alias("lo"), F.max("id").alias("hi")))
-    members = met.where(~is_piece).join(parts.select("id", "key", "at", "content"), ["id", "key", "at"]).select("sig", "content").distinct()
+    members = met.where(is_line).join(parts.select("id", "key", "at", "content"), ["id", "key", "at"]).select("sig", "content").distinct()
     members = scratch.save(members)
     blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     spread = members.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
@@ -223,7 +271,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = lines.join(comps, "content", "left").select("content", "lo", "hi", F.coalesce("component", "content").alias("root"))
     keeper = rooted.groupBy("root").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper != hi")
     lost_lines = parts.select("id", "key", "at", "content").join(rooted.select("content", "root"), "content").join(keeper, "root").where("id != keeper").select("id", "key", "at")
-    lost = lost_lines.unionByName(lost_pieces).groupBy("id", "key").agg(F.collect_set("at").alias("__lost")).withColumn("__copy", F.lit(False))
+    lost = lost_lines.unionByName(lost_pieces).unionByName(lost_runs).groupBy("id", "key").agg(F.collect_set("at").alias("__lost")).withColumn("__copy", F.lit(False))
     lost = lost.unionByName(copies.select("id", "key", F.lit(None).cast("array<int>").alias("__lost"), F.lit(True).alias("__copy")))
     lost = scratch.save(lost.withColumnsRenamed({"id": "__id", "key": "__key"}), tidy=True)
 
@@ -237,11 +285,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 p = Paragraphs(texts, reach, least_words)
                 ats, whole = part.column("__lost").to_pylist(), part.column("__copy").to_pylist()
                 text = np.repeat(np.arange(len(texts)), [len(x or ()) for x in ats])
-                pick = p.first[text] + np.array([k for x in ats for k in x or ()], np.int64)
+                at = np.array([k for x in ats for k in x or ()], np.int64)
+                begin = p.at[text[at < 0]] - 1 - at[at < 0]
+                pick = (p.first[text] + at)[at >= 0]
                 pick = np.r_[pick, np.flatnonzero(np.array([bool(w) for w in whole], bool)[p.text])] if len(p.text) else pick
                 deep = np.zeros(len(p.h) + 1, np.int64)
                 np.add.at(deep, p.a[pick], 1)
                 np.add.at(deep, p.b[pick], -1)
+                np.add.at(deep, begin, 1)
+                np.add.at(deep, begin + run_words, -1)
                 gone = np.cumsum(deep)[:-1] > 0
                 fresh = np.zeros(len(p.h), bool)
                 fresh[p.at[:-1][p.at[:-1] < len(p.h)]] = True

@@ -318,6 +318,21 @@ def test_quotes(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_passages_inside_lines_go_to_their_exact_ends(spark):
+    """Runs of 15 words and more that a smaller id has, against brute force; random, repetitive, and one short of a run."""
+    rnd = random.Random(15)
+    shared = [text(rnd, n) for n in (14, 15, 16, 20, 50, 50, 50, 80)] + [" ".join(["same"] * 40), " ".join(["to", "and", "fro"] * 10)]
+    docs = [(k, " ".join([text(rnd, rnd.randrange(3, 60)), shared[k % len(shared)], text(rnd, rnd.randrange(3, 60))])) for k in range(40)]
+    seen, want = set(), {}
+    for k, t in docs:
+        w = t.split()
+        gone = {j for i in range(len(w) - 14) if tuple(w[i : i + 15]) in seen for j in range(i, i + 15)}
+        want[k] = " ".join(x for j, x in enumerate(w) if j not in gone)
+        seen |= {tuple(w[i : i + 15]) for i in range(len(w) - 14)}
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(docs_of(spark, docs)).collect()}
+    assert got == want and sum(want[k] != t for k, t in docs) == 27
+
+
 def test_partial_quotes(spark):
     """Runs of lines of an original, cut, re-wrapped or between quotes; lines that it has in another order or not whole are none."""
     rows = [
