@@ -30,9 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
+    """One document of each group of near copies: that with the smallest id.  Documents without an id are in no group and stay."""
     groups = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(groups, "doc_id", "left_semi")
+    docs = docs.select(*COLUMNS)
+    return docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

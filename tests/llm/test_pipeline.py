@@ -15,6 +15,16 @@ def test_pipeline(spark, data):
     assert last.count() > 0
 
 
+def test_documents_without_id_stay(spark, data):
+    same = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, same, "en", "s", len(same)) for i in (1, 2, None, None)] + [(3, "other words", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, data)
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "3", "None", "None"]
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        got = stage(spark, got, data)
+        assert got.where("doc_id is null").count() == 2, name
+
+
 def test_sql(spark, data):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
