@@ -29,6 +29,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
         self.root = f"{root.rstrip('/')}/fabriq-{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
@@ -66,6 +68,22 @@ def small(df: DataFrame, rows: int = BROADCAST_KEYS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def semi_size(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, marked for broadcast if it has ``rows`` rows at most."""
+    return F.broadcast(df) if small(df, rows) else df
+
+
+def fresh_names(names: list[str], taken: list[str]) -> dict[str, str]:
+    """A name for each of names: its own, or with leading underscores where that is among taken or already given away."""
+    out: dict[str, str] = {}
+    for name in names:
+        new = name
+        while new in taken or new in out.values() or (new != name and new in names):
+            new = f"_{new}"
+        out[name] = new
+    return out
+
+
 def semi(left: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """left rows whose ``on`` is (left_anti: is not) among keys: by broadcast within BROADCAST_KEYS, else by shuffle."""
     return left.join(F.broadcast(keys) if small(keys) else keys, on, how)
@@ -93,7 +111,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, rows: int
         at = end
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 40, one_task: int = 200_000) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 200, one_task: int = 200_000) -> DataFrame:
     """(id, component): component is the smallest id reachable.  Only ids that have an edge are returned.
 
     Large-star / small-star contraction over written tables.  Before the first round each partition
@@ -154,4 +172,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         if tuple(total) == state:
             break
         state = tuple(total)
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))

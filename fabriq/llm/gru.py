@@ -7,6 +7,8 @@ another in a lane, the state is zeroed where one begins and carried through its
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -19,6 +21,17 @@ def classes(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[in
     return cls, np.arange(len(cls)) - first[cls], np.bincount(cls).tolist()
 
 
+def _softmax(logits: np.ndarray, bias: np.ndarray, every: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln P of the picked column of each row, and all columns' P; works in place."""
+    logits += bias
+    np.clip(logits, -60, 60, out=logits)
+    picked = logits[every, pick]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    logits /= total[:, None]
+    return picked - np.log(total), logits
+
+
 class GRU:
     def __init__(self, params: dict[str, np.ndarray], cls: np.ndarray, sizes: list[int], tails: int):
         self.p, self.sizes = params, sizes
@@ -55,15 +68,11 @@ class GRU:
     def log_probs(self, hs: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P of the ids y after the states hs; with grads, the gradients of -sum are added there and the states' returned."""
         p = self.p
-        logits = np.clip(hs @ p["C"] + p["d"], -60, 60)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
         c = self.cls[y]
         every = np.arange(len(y))
-        out = logits[every, c] - np.log(total)
+        out, d = _softmax(hs @ p["C"], p["d"], every, c)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
             d[every, c] -= 1
             grads["C"] += hs.T @ d
             grads["d"] += d.sum(axis=0)
@@ -77,21 +86,54 @@ class GRU:
                 continue
             lo, hi = self.first[k], self.first[k + 1]
             part = hs[at]
-            logits = np.clip(part @ p["W"][:, lo:hi] + p["w"][lo:hi], -60, 60)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
             own = y[at] - lo
             every = np.arange(len(at))
-            out[at] += logits[every, own] - np.log(total)
+            got, d = _softmax(part @ p["W"][:, lo:hi], p["w"][lo:hi], every, own)
+            out[at] += got
             if grads is not None:
-                d = e / total[:, None]
                 d[every, own] -= 1
                 grads["W"][:, lo:hi] += part.T @ d
                 grads["w"][lo:hi] += d.sum(axis=0)
                 dh[at] += d @ p["W"][:, lo:hi].T
         return out, dh
 
-    def train(self, docs: list[np.ndarray], end: int, lanes: int = 64, window: int = 20, rate: float = 0.08, passes: int = 1, seed: int = 0) -> None:
+    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.ndarray, end: int) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray]:
+        """One window (steps, lanes) of ids x, before y: the states after it, the gradients of -sum ln P of the real places, and those of E's rows."""
+        p, hidden, lanes = self.p, h.shape[1], x.shape[1]
+        kept, hs = [], []
+        for t in range(len(x)):
+            fresh = (x[t] != end)[:, None]
+            k = {"fresh": fresh}
+            h = self.step(p["E"][x[t]] + p["b"], h * fresh, k)
+            kept.append(k)
+            hs.append(h)
+        g = {k: np.zeros_like(v) for k, v in p.items() if k != "E"}
+        of = real.ravel()
+        dh = np.zeros((len(of), hidden), h.dtype)
+        _, dh[of] = self.log_probs(np.concatenate(hs)[of], y.ravel()[of], g)
+        dh = dh.reshape(len(x), lanes, hidden)
+        carry = np.zeros((lanes, hidden), h.dtype)
+        dx = np.empty((len(x), lanes, 3 * hidden), h.dtype)
+        for t in range(len(x) - 1, -1, -1):
+            k = kept[t]
+            d = dh[t] + carry
+            da = d * (1 - k["z"]) * (1 - k["a"] ** 2)
+            dz = d * (k["h"] - k["a"]) * k["z"] * (1 - k["z"])
+            dun = da * k["r"]
+            dr = da * k["un"] * k["r"] * (1 - k["r"])
+            dx[t] = np.concatenate([dz, dr, da], axis=1)
+            du = np.concatenate([dz, dr, dun], axis=1)
+            g["U"] += k["h"].T @ du
+            g["c"] += dun.sum(axis=0)
+            carry = (d * k["z"] + du @ p["U"].T) * k["fresh"]
+        flat = dx.reshape(-1, 3 * hidden)
+        g["b"] += flat.sum(axis=0)
+        ids = x.ravel()
+        order = np.argsort(ids, kind="stable")
+        rows, starts = np.unique(ids[order], return_index=True)
+        return h, g, rows, np.add.reduceat(flat[order], starts, axis=0)
+
+    def train(self, docs: list[np.ndarray], end: int, lanes: int = 256, window: int = 20, rate: float = 0.15, passes: int = 1, seed: int = 0) -> None:
         """Truncated backpropagation with Adagrad over documents (each ends with end)."""
         p, hidden = self.p, self.p["U"].shape[0]
         sq = {k: np.full_like(v, 1e-2) for k, v in p.items()}
@@ -111,38 +153,7 @@ class GRU:
             h = np.zeros((lanes, hidden), np.float32)
             for lo in range(0, steps, window):
                 hi = min(steps, lo + window)
-                kept, hs = [], []
-                for t in range(lo, hi):
-                    fresh = (x[t] != end)[:, None]
-                    k = {"fresh": fresh}
-                    h = self.step(p["E"][x[t]] + p["b"], h * fresh, k)
-                    kept.append(k)
-                    hs.append(h)
-                g = {k: np.zeros_like(v) for k, v in p.items() if k != "E"}
-                of = real[lo:hi].ravel()
-                dh = np.zeros((len(of), hidden), np.float32)
-                _, dh[of] = self.log_probs(np.concatenate(hs)[of], y[lo:hi].ravel()[of], g)
-                dh = dh.reshape(hi - lo, lanes, hidden)
-                carry = np.zeros((lanes, hidden), np.float32)
-                dx = np.empty((hi - lo, lanes, 3 * hidden), np.float32)
-                for t in range(hi - lo - 1, -1, -1):
-                    k = kept[t]
-                    d = dh[t] + carry
-                    da = d * (1 - k["z"]) * (1 - k["a"] ** 2)
-                    dz = d * (k["h"] - k["a"]) * k["z"] * (1 - k["z"])
-                    dun = da * k["r"]
-                    dr = da * k["un"] * k["r"] * (1 - k["r"])
-                    dx[t] = np.concatenate([dz, dr, da], axis=1)
-                    du = np.concatenate([dz, dr, dun], axis=1)
-                    g["U"] += k["h"].T @ du
-                    g["c"] += dun.sum(axis=0)
-                    carry = (d * k["z"] + du @ p["U"].T) * k["fresh"]
-                flat = dx.reshape(-1, 3 * hidden)
-                g["b"] += flat.sum(axis=0)
-                ids = x[lo:hi].ravel()
-                order = np.argsort(ids, kind="stable")
-                rows, starts = np.unique(ids[order], return_index=True)
-                ge = np.add.reduceat(flat[order], starts, axis=0)
+                h, g, rows, ge = self.gradients(x[lo:hi], y[lo:hi], real[lo:hi], h, end)
                 scale = 1 / lanes
                 for k, v in g.items():
                     v *= scale
@@ -154,13 +165,14 @@ class GRU:
                 p["E"][rows] -= rate * ge / np.sqrt(sq["E"][rows])
 
     def score(self, flow: np.ndarray, at: np.ndarray, end: int, lanes: int = 192, chunk: int = 48) -> np.ndarray:
-        """log10 P of each document: flow has all ids, document k those from at[k] to at[k+1], its end included."""
+        """log10 P of each document: flow has all ids, document k those from at[k] to at[k+1], its end included.
+
+        Memory goes with the number of ids and with lanes * chunk, not with the longest document times the lanes.
+        """
         p, hidden = self.p, self.p["U"].shape[0]
         n = np.diff(at)
         lanes = max(1, min(lanes, len(n)))
         # documents to lanes, the longest first, each to the shortest lane
-        import heapq
-
         heap, where = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
         for d in np.argsort(-n, kind="stable").tolist():
             size, k = heapq.heappop(heap)
@@ -168,27 +180,25 @@ class GRU:
             heapq.heappush(heap, (size + int(n[d]), k))
         where = sorted((w for w in where if w), key=lambda w: -sum(n[d] for d in w))
         lengths = np.array([sum(int(n[d]) for d in w) for w in where])
-        steps = int(lengths.max())
-        y = np.full((len(where), steps), end, np.int32)
-        doc = np.zeros((len(where), steps), np.int32)
-        for k, w in enumerate(where):
-            y[k, : lengths[k]] = np.concatenate([flow[at[d] : at[d + 1]] for d in w])
-            doc[k, : lengths[k]] = np.repeat(w, n[w])
+        order = np.concatenate([np.array(w) for w in where]) if where else np.zeros(0, np.int64)
+        ids = np.concatenate([flow[at[d] : at[d + 1]] for d in order.tolist()]) if where else flow
+        own = np.repeat(order, n[order]).astype(np.int32)  # lane after lane
+        begin = np.r_[0, np.cumsum(lengths)[:-1]]
         out = np.zeros(len(n))
         table = p["E"] + p["b"]
         h = np.zeros((len(where), hidden), np.float32)
         last = np.full(len(where), end, np.int32)
-        for lo in range(0, steps, chunk):
-            hi = min(steps, lo + chunk)
+        for lo in range(0, int(lengths.max()) if where else 0, chunk):
             hs, ys, ds = [], [], []
-            for t in range(lo, hi):
+            for t in range(lo, min(int(lengths[0]), lo + chunk)):
                 live = int(np.searchsorted(-lengths, -t))  # lanes are sorted by length
                 h, last = h[:live], last[:live]
                 h = self.step(table[last], h * (last != end)[:, None])
-                last = y[:live, t]
+                spot = begin[:live] + t
+                last = ids[spot]
                 hs.append(h)
                 ys.append(last)
-                ds.append(doc[:live, t])
+                ds.append(own[spot])
             got, _ = self.log_probs(np.concatenate(hs), np.concatenate(ys))
             out += np.bincount(np.concatenate(ds), got, len(n))
         return out / np.log(10)

@@ -76,7 +76,7 @@ def _deal(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(where[order], np.arange(n + 1))
 
 
-def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 2_048, n_classes: int = 64, hidden: int = 24, first_tokens: int = 1_000_000, passes: int = 3) -> DataFrame:
+def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 4_096, n_classes: int = 64, hidden: int = 24, first_tokens: int = 1_000_000, passes: int = 3) -> DataFrame:
     """(id_col, training, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -224,13 +224,13 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     learn = rows.where("training and text is not null").select("text", chance.alias("chance"))
     if N:
         first = min(1.0, first_tokens / N)
-        small = learn.where(F.col("chance") < first).select("text").coalesce(1)
-        got = small.mapInArrow(trainer(model.p, 0.08), weights).collect()
+        small = scratch.save(learn.where(F.col("chance") < first).select("text"))  # read in parallel, then one task learns from what was written
+        got = small.coalesce(1).mapInArrow(trainer(model.p, 0.15), weights).collect()
         if got:
             model.p = unpack(np.frombuffer(got[0]["weights"], np.float32))
         if first < 1:
             more = learn.where(F.col("chance") >= first).select("text")
-            got = more.mapInArrow(trainer(model.p, 0.02), weights).groupBy("part").applyInArrow(mean, weights).collect()  # 16 rows at most
+            got = more.mapInArrow(trainer(model.p, 0.04), weights).groupBy("part").applyInArrow(mean, weights).collect()  # 16 rows at most
             if got:
                 total = sum(r["tokens"] for r in got)
                 model.p = unpack(sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["tokens"] for r in got) / total)

@@ -370,7 +370,7 @@ def test_shortage_goes_to_siblings_first(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     w = {"domain": {"domain0": 1, "domain1": 1}, "language": {"en": 1, "de": 1}, "origin": {}}
     got = {r["doc_id"]: r["taken_tokens"] for r in mixing.mix(df, mixing.tree(), w, 60, 1, 1).collect()}
-    assert got == {1: 36, 2: 10, 3: 47, 4: 93} or sum(got.values()) == 186 and got[2] == 10 and got[1] - got[3] in range(-12, 1)
+    assert got == {1: 36, 2: 10, 3: 47, 4: 93}  # src4 lacks 13 of its 23: its sibling src0 takes them, not the other language or domain
 
 
 def test_gru_gradient():
@@ -389,6 +389,60 @@ def test_gru_gradient():
         assert abs((net.log_probs(b, y)[0].sum() - net.log_probs(a, y)[0].sum()) / 2e-2 - dh[i, j]) < 1e-2
 
 
+def tiny_gru(hidden=4):
+    counts = np.array([9.0, 5, 4, 3, 2, 1])
+    cls, _, sizes = gru.classes(counts, 3)
+    net = gru.GRU.init(cls, sizes, 2, hidden, np.r_[counts, 3, 3])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    return net
+
+
+def test_gru_gradient_through_time():
+    """All parameters' gradients over a window against differences, with a document that ends inside it and places that teach nothing."""
+    net, rnd, end = tiny_gru(), np.random.default_rng(3), 0
+    x = np.array([[0, 3, 1], [2, 5, 7], [4, 0, 2], [6, 1, 1]])
+    y = np.array([[2, 5, 7], [4, 0, 2], [6, 1, 1], [1, 2, 0]])
+    real = np.ones((4, 3), bool)
+    real[3, 2] = False
+    start = rnd.standard_normal((3, 4))
+
+    def loss():
+        h, out = start, 0.0
+        for t in range(4):
+            h = net.step(net.p["E"][x[t]] + net.p["b"], h * (x[t] != end)[:, None])
+            out -= net.log_probs(h[real[t]], y[t][real[t]])[0].sum()
+        return out
+
+    _, g, rows, ge = net.gradients(x, y, real, start, end)
+    g["E"] = np.zeros_like(net.p["E"])
+    g["E"][rows] = ge
+    for name, value in net.p.items():
+        for spot in np.ndindex(value.shape):
+            was, value[spot] = value[spot], value[spot] + 1e-6
+            up = loss()
+            value[spot] = was - 1e-6
+            down = loss()
+            value[spot] = was
+            assert abs((up - down) / 2e-6 - g[name][spot]) < 1e-5, (name, spot)
+
+
+def test_gru_scores_do_not_depend_on_lanes():
+    """Documents scored together, in few or many lanes and chunks, against each by itself, word by word."""
+    net, rnd = tiny_gru(), np.random.default_rng(4)
+    docs = [np.r_[rnd.integers(1, 8, n), 0].astype(np.int32) for n in (0, 1, 5, 30, 200, 3, 7)]
+    at = np.cumsum([0] + [len(d) for d in docs])
+    want = []
+    for d in docs:
+        h, last, total = np.zeros((1, 4)), 0, 0.0
+        for y in d.tolist():
+            h = net.step((net.p["E"] + net.p["b"])[[last]], h * (last != 0))
+            total += net.log_probs(h, np.array([y]))[0][0]
+            last = y
+        want.append(total / np.log(10))
+    for lanes, chunk in ((192, 48), (2, 3), (1, 1000)):
+        assert np.allclose(net.score(np.concatenate(docs), at, 0, lanes=lanes, chunk=chunk), want, rtol=1e-5)
+
+
 def test_lm_scores(spark, rows):
     rnd = random.Random(13)
     more = [(i, t) for i, t in rows if i is not None] + [(k, " ".join(rnd.choice(["red", "blue"]) + " fish," for _ in range(40))) for k in range(200, 260)] + [(7, "One two")]
