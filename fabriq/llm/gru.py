@@ -144,8 +144,7 @@ class GRU:
         for _ in range(passes):
             flow = np.concatenate([docs[i] for i in rnd.permutation(len(docs))])
             before = np.r_[end, flow[:-1]]
-            if len(flow) < lanes:
-                lanes = 1
+            lanes = max(1, min(lanes, len(flow) // (16 * window)))  # few tokens make small batches, so that a pass has many steps
             steps = -(-len(flow) // lanes)
             rest = steps * lanes - len(flow)  # places after the flow's end, which teach nothing
             y, x = (np.r_[v, np.full(rest, end, v.dtype)].reshape(lanes, steps).T for v in (flow, before))
