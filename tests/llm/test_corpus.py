@@ -261,6 +261,43 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(docs_of(spark, rows), bench.limit(0)).where("size(matches) > 0").count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """All (document, item) pairs by exact edit distance of whole texts, items damaged up to and beyond what is allowed; repeated rows, a clashing column."""
+    rnd = random.Random(21)
+    items = [(k, text(rnd, n)) for k, n in enumerate([1, 2, 4, 5, 9, 10, 14, 20, 35, 60, 120, 200] * 3)]
+    rows = []
+    for k in range(150):
+        w, v = text(rnd, 60).split(), items[k % len(items)][1].split()
+        for p in sorted(rnd.sample(range(len(v)), min(len(v) - 1, len(v) // 5 + (k % 7 == 0))), reverse=True):
+            how = rnd.randrange(3)
+            v[p : p + (how > 0)] = ["edited"] if how < 2 else []
+        at = rnd.randrange(60)
+        w[at:at] = v
+        rows.append((k, " ".join(w)))
+    rows += [rows[5], rows[5], (900, None), (901, " \n"), (902, "one " * 20_000)]
+    hash_ = lambda t: word_hashes([t])[0]
+    want = {}
+    for k, t in rows:
+        h = hash_(t)
+        best = {i: decontamination.best_window(hash_(v), h) for i, v in items}
+        want[k] = sorted((i, e) for i, (e, _) in best.items() if e <= len(v := items[i][1].split()) // 5 and e < len(v))
+    df = spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, matches string")
+    got = decontamination.decontaminate(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r["_matches"] == "mine" for r in got)
+    missed = [(k, x) for r in got for k in [r["doc_id"]] for x in set(want[k]) ^ {(m["item_id"], m["distance"]) for m in r["matches"]}]
+    assert len(missed) <= 0.01 * sum(map(len, want.values())), missed
+
+
+@pytest.mark.parametrize("m", [5, 10, 20, 50, 100, 200])
+def test_tables_reach_the_recall(m):
+    """Tuned on some damage, measured on other: items at exactly the allowed distance."""
+    rnd = random.Random(m)
+    texts = [text(rnd, m) for _ in range(200)]
+    ids = list(range(200))
+    found = decontamination.Items(ids, texts, 80, 100, decontamination.tuned(ids, texts, 80, 100, 0.99), 8)
+    assert decontamination.measured(found, seed=77) >= 0.97
+
+
 def test_embedding_dedup(spark):
     rnd = np.random.default_rng(9)
     base = rnd.standard_normal((300, 16))
