@@ -2,12 +2,15 @@
 
 Equal vectors are one first, with their number.  Centroids are fitted on a bounded sample; every vector goes to its ``overlap`` nearest
 ones' shards, and a shard too large for one task is cut into blocks, each pair of which is a task.  Each task builds a
-graph: every vector's near neighbours pruned so that none is kept that a kept one already leads to (robust pruning, factor ``alpha``), with
-the edges back and a few random ones.  A vector's adjacency lists of all its tasks are united.  Then each task searches the
+graph by insertion, in batches that double: what a greedy search from the medoid finds near a new vector is pruned so that none is
+kept that a kept one already leads to (robust pruning, factor ``alpha``), edges back are added, and lists that grow too long are pruned
+again.  A vector's adjacency lists of all its tasks are united.  Then each task searches the
 united graph, as far as it holds its vectors, for each of its vectors: greedily from the medoid with a beam of ``beam``, then
-over everything linked to what is within the range, until nothing new is.  What is found is verified in double precision.
+over everything linked to what is within the range, until nothing new is.  What is found is verified in double precision, after an
+exact scaling by a power of two, so that no norm over- or underflows.
 A pair in several tasks counts in the first of them.  A bounded set of vectors is compared with all by brute force; while the
-share of their links that was found is below ``recall``, the build is repeated with more overlap and a wider beam.
+share of their links that was found is below ``recall``, the build is repeated with more overlap and a wider beam, and
+after ``tries`` builds a recall that is still too low is an error.  The measured recall is logged.
 
 Defined results: a vector that is null, zero, or holds a null, NaN or infinite component links with nothing; vectors of different
 lengths don't link.  Rows with one id and different vectors are one vector of several places.  A null id keeps its row, unlinked, with
@@ -16,6 +19,8 @@ null component.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +32,13 @@ from .common import Scratch, arrow_rows, connected_components, table
 SAMPLE, CENTROIDS, BLOCK, AUDIT = 20_000, 4_096, 1_500, 256
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x by powers of two, the largest component of each vector in [0.5, 1)."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
@@ -53,37 +64,108 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarr
     return c
 
 
-def build(x: np.ndarray, degree: int, near: int, alpha: float, seed: int) -> list[np.ndarray]:
-    """Adjacency lists of unit vectors: robust-pruned near neighbours, edges back and two random ones."""
-    n = len(x)
-    if n == 1:
-        return [np.zeros(0, np.int64)]
-    near = min(near, n - 1)
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2)
-    cand = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-    own = np.take_along_axis(sims, cand, axis=1)
-    order = np.argsort(-own, axis=1, kind="stable")
-    cand, own = np.take_along_axis(cand, order, axis=1), np.take_along_axis(own, order, axis=1)
-    np.fill_diagonal(sims, 1)
-    dist = 2 - 2 * own
-    alive = np.ones(cand.shape, bool)
-    every = np.arange(n)
-    picked = np.full((n, degree), -1)
-    for r in range(min(degree, near)):
+def _prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Robust pruning of rows of candidates (-1: none) of the vectors own: kept ones, -1 beyond."""
+    order = np.argsort(-np.where(cand >= 0, sims, -3), axis=1, kind="stable")
+    cand, sims = np.take_along_axis(cand, order, axis=1), np.take_along_axis(sims, order, axis=1)
+    alive = (cand >= 0) & (cand != own[:, None])
+    alive[:, 1:] &= cand[:, 1:] != cand[:, :-1]  # the same candidate twice stands side by side
+    every, picked = np.arange(len(own)), np.full((len(own), degree), -1)
+    dist = 2 - 2 * sims
+    vectors = x[cand]
+    for r in range(degree):
         first = alive.argmax(axis=1)
         has = alive[every, first]
+        if not has.any():
+            break
         star = cand[every, first]
         picked[has, r] = star[has]
         alive[every, first] = False
         # what the kept neighbour leads to well enough is not kept
-        alive &= ~(has[:, None] & (alpha**2 * (2 - 2 * sims[star[:, None], cand]) <= dist))
+        near = 2 - 2 * np.einsum("ij,ikj->ik", x[star], vectors)
+        alive &= ~(has[:, None] & (alpha**2 * near <= dist))
+    return picked
+
+
+def greedy(x: np.ndarray, near: np.ndarray, q: np.ndarray, start: int, beam: int, reach: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list]:
+    """Beam search of the queries q from start over the lists near: the beam's ids (len(x): none) and similarities, what was
+    seen, and the queries and ids of all that were seen with similarity >= reach."""
+    n, m, width = len(x), len(q), near.shape[1]
+    seen = np.zeros((m, n + 1), bool)
+    seen[:, start] = True
+    ids = np.full((m, beam), n)
+    sims = np.full((m, beam), -2.0, x.dtype)
+    ids[:, 0], sims[:, 0] = start, q @ x[start]
+    open_ = np.zeros((m, beam), bool)
+    open_[:, 0] = True
+    every = np.arange(m)
+    hit = sims[:, 0] >= reach
+    found_q, found_i = [every[hit]], [np.full(int(hit.sum()), start)]
+    while True:
+        best = np.where(open_, sims, -3.0).argmax(axis=1)
+        act = np.flatnonzero(open_[every, best])
+        if not len(act):
+            return ids, sims, seen, found_q, found_i
+        node = ids[act, best[act]]
+        open_[act, best[act]] = False
+        nb = near[node]
+        fresh = (nb >= 0) & ~seen[act[:, None], nb]
+        r, c = np.nonzero(fresh)
+        qi, ni = act[r], nb[r, c]
+        seen[qi, ni] = True
+        s = _dots(q, x, qi, ni)
+        hit = s >= reach
+        found_q.append(qi[hit])
+        found_i.append(ni[hit])
+        grid = np.full((len(act), width), -2.0, x.dtype)
+        grid[r, c] = s
+        both = np.concatenate([sims[act], grid], axis=1)
+        top = np.argpartition(-both, beam - 1, axis=1)[:, :beam]
+        sims[act] = np.take_along_axis(both, top, axis=1)
+        ids[act] = np.take_along_axis(np.concatenate([ids[act], np.where(fresh, nb, n)], axis=1), top, axis=1)
+        open_[act] = np.take_along_axis(np.concatenate([open_[act], fresh], axis=1), top, axis=1)
+
+
+def medoid(x: np.ndarray) -> int:
+    return int((x @ x.mean(axis=0)).argmax())
+
+
+def build(x: np.ndarray, degree: int, near: int, alpha: float, seed: int) -> list[np.ndarray]:
+    """Adjacency lists of unit vectors, by insertion: each batch is as large as what is in already, 256 at most."""
+    n = len(x)
+    width = degree + degree // 2
+    lists, count = np.full((n, width), -1), np.zeros(n, np.int64)
     rnd = np.random.default_rng(seed)
-    a = np.concatenate([np.repeat(every, degree), np.repeat(every, 2)])
-    b = np.concatenate([picked.ravel(), rnd.integers(0, n, 2 * n)])
-    ok = (b >= 0) & (a != b)
-    pairs = np.unique(np.concatenate([a[ok] * n + b[ok], b[ok] * n + a[ok]]))
-    return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
+    start = medoid(x)
+    rest = rnd.permutation(n)
+    rest = rest[rest != start]
+    done = 0
+    while done < len(rest):
+        new = rest[done : done + min(256, done + 1)]
+        ids, sims, _, _, _ = greedy(x, lists, x[new], start, min(near, done + 1))
+        picked = _prune(x, new, np.where(ids < n, ids, -1), sims, degree, alpha)
+        lists[new, :degree] = picked
+        count[new] = (picked >= 0).sum(axis=1)
+        # edges back; a list without room for all of them is pruned with them
+        a, b = np.repeat(new, degree), picked.ravel()
+        a, b = a[b >= 0], b[b >= 0]
+        order = np.argsort(b, kind="stable")
+        a, b = a[order], b[order]
+        to, first, many = np.unique(b, return_index=True, return_counts=True)
+        place = np.arange(len(b)) - np.repeat(first, many)
+        fits = np.repeat(count[to] + many <= width, many)
+        lists[b[fits], count[b[fits]] + place[fits]] = a[fits]
+        ok = count[to] + many <= width
+        count[to[ok]] += many[ok]
+        for k in np.flatnonzero(~ok).tolist():
+            t = to[k]
+            cand = np.unique(np.r_[lists[t, : count[t]], a[first[k] : first[k] + many[k]]])[None]
+            kept = _prune(x, np.array([t]), cand, _dots(x, x, np.full(cand.shape[1], t), cand[0])[None], degree, alpha)[0]
+            lists[t] = -1
+            lists[t, :degree] = kept
+            count[t] = (kept >= 0).sum()
+        done += len(new)
+    return [v[v >= 0] for v in lists]
 
 
 def search(x: np.ndarray, links: list[np.ndarray], reach: float, beam: int, most: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -93,44 +175,17 @@ def search(x: np.ndarray, links: list[np.ndarray], reach: float, beam: int, most
     near = np.full((n, width), -1)
     for k, v in enumerate(links):
         near[k, : len(v)] = v
-    medoid = int((x @ x.mean(axis=0)).argmax())
+    start = medoid(x)
     qs, hits = [], []
-    beam = min(beam, n)
     for lo in range(0, n, most):
         q = x[lo : lo + most]
-        m = len(q)
-        seen = np.zeros((m, n + 1), bool)
-        seen[:, medoid] = True
-        ids = np.full((m, beam), n)
-        sims = np.full((m, beam), -2.0, x.dtype)
-        ids[:, 0], sims[:, 0] = medoid, q @ x[medoid]
-        done = np.ones((m, n + 1), bool)
-        done[:, :n] = False
-        every = np.arange(m)
-        found_q, found_i = [every[sims[:, 0] >= reach]], [np.full(int((sims[:, 0] >= reach).sum()), medoid)]
-        while True:
-            open_ = np.where(done[every[:, None], ids], -3.0, sims)
-            best = open_.argmax(axis=1)
-            act = np.flatnonzero(open_[every, best] > -3)
-            if not len(act):
-                break
-            node = ids[act, best[act]]
-            done[act, node] = True
-            nb = near[node]
-            fresh = (nb >= 0) & ~seen[act[:, None], nb]
-            r, c = np.nonzero(fresh)
-            qi, ni = act[r], nb[r, c]
-            seen[qi, ni] = True
-            s = _dots(q, x, qi, ni)
-            hit = s >= reach
-            found_q.append(qi[hit])
-            found_i.append(ni[hit])
-            grid = np.full((len(act), width), -2.0, x.dtype)
-            grid[r, c] = s
-            both = np.concatenate([sims[act], grid], axis=1)
-            names = np.concatenate([ids[act], np.where(fresh, nb, n)], axis=1)
-            top = np.argpartition(-both, beam - 1, axis=1)[:, :beam]
-            sims[act], ids[act] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
+        _, _, seen, found_q, found_i = greedy(x, near, q, start, min(beam, n), reach)
+        # a query is itself within its range, wherever the greedy search went
+        own = np.arange(len(q))
+        fresh = ~seen[own, lo + own]
+        seen[own, lo + own] = True
+        found_q.append(own[fresh])
+        found_i.append(lo + own[fresh])
         # the range expands over the links of all that is inside it
         fq, fi = np.concatenate(found_q), np.concatenate(found_i)
         out_q, out_i = [fq], [fi]
@@ -155,7 +210,7 @@ def search(x: np.ndarray, links: list[np.ndarray], reach: float, beam: int, most
     return np.concatenate(qs), np.concatenate(hits)
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, overlap: int = 2, degree: int = 20, near: int = 64, alpha: float = 1.2, beam: int = 48, recall: float = 0.97, tries: int = 3) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, overlap: int = 2, degree: int = 20, near: int = 64, alpha: float = 1.2, beam: int = 48, recall: float = 0.97, tries: int = 5) -> DataFrame:
     """(id_col, n_links, component_id, kept) of each row of vectors."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding")
@@ -182,7 +237,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 out = []
                 for i, n, v in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "v"))):
                     c = shared.value[len(v)]
-                    s = c @ (np.array(v) / np.linalg.norm(v))
+                    s = c @ _unit(np.array(v))
                     out.append((i, n, v, sorted(np.argsort(-s, kind="stable")[:overlap].tolist())))
                 cols = list(zip(*out)) if out else [[]] * 4
                 yield arrow_rows(pa.schema([f for f in member_schema if f.name != "task"]), id=cols[0], n=cols[1], v=cols[2], shards=cols[3])
@@ -228,6 +283,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             if len(np.unique(block)) > 1:
                 ok &= block[a] != block[b]  # a block by itself is another task
             a, b = a[ok], b[ok]
+            exact = _scaled(exact)
             dots = _dots(exact, exact, a, b)
             norms = np.linalg.norm(exact, axis=1)
             ok = dots / (norms[a] * norms[b]) >= least
@@ -264,13 +320,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 for k, v in enumerate(vs):
                     by.setdefault(len(v), []).append(k)
                 for d, at in by.items():
-                    x = np.array([vs[k] for k in at])
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    x = _unit(np.array([vs[k] for k in at]))
                     own, weight = np.array([ids[k] for k in at]), np.array([n[k] for k in at])
                     for k, (i, q) in enumerate(asked.value):
                         if len(q) == d:
-                            q = np.array(q)
-                            total[k] += int(weight[(x @ (q / np.linalg.norm(q)) >= least) & (own != i)].sum())
+                            total[k] += int(weight[(x @ _unit(np.array(q)) >= least) & (own != i)].sum())
             yield arrow_rows(pa.schema([("id", pa.int64()), ("true", pa.int64())]), id=[i for i, _ in asked.value], true=total)
 
         true = classes.select("id", "n", "v").mapInArrow(compare, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
@@ -281,8 +335,12 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = None
     for k in range(tries):
         found = attempt(overlap + k, beam * 2**k)
-        if audited(found) >= recall:
+        share_found = audited(found)
+        logging.getLogger(__name__).info("recall %.4f with %d shards a vector and a beam of %d", share_found, overlap + k, beam * 2**k)
+        if share_found >= recall:
             break
+    else:
+        raise RuntimeError(f"after {tries} builds the recall is {share_found:.4f}, less than {recall}")
     several = rows.where("mark is not null").join(classes.select("mark", F.col("id").alias("rep")), "mark").where("id != rep")
     edges = found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     edges = edges.union(several.select(F.col("id").alias("a"), F.col("rep").alias("b")).join(classes.select(F.col("id").alias("a")), "a", "left_semi"))

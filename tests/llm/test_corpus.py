@@ -319,6 +319,42 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_norms_and_ties(spark):
+    """Tiny and huge vectors by their true cosines; cosine 0.95 exactly, from integers, links; equal vectors of two ids and of one."""
+    tie = [19.0, 0.0, math.sqrt(400 - 361)]
+    vs = [[1e-200, 1e-200, 0.0], [1.0, 0.2, 0.0], [1e200, 1e200, 0.0], [1e200, 1.0000001e200, 0.0], [0.0, 0.0, 5e-324], [0.0, 0.0, 1e308], [-1.0, 0.0, 0.0], [1.0, -5.0, 0.0], [1.0, -5.0, 0.0]]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vs)] + [(8, vs[8])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert [got[k] for k in (0, 2, 3)] == [(2, 0)] * 3 and got[1] == (0, 1) and got[4] == (1, 4) and got[5] == (1, 4) and got[6] == (0, 6)
+    assert got[7][1] == got[8][1] == 7 and got[7][0] >= 1
+    two = spark.createDataFrame([(0, [20.0, 0.0, 0.0]), (1, tie), (2, [18.9, 0.0, math.sqrt(400 - 18.9**2)])], "vec_id long, embedding array<double>")
+    links = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(two).collect()}
+    u = np.array([[20.0, 0, 0], tie])
+    assert (links[0] >= 1) == (u[0] @ u[1] / np.linalg.norm(u[0]) / np.linalg.norm(u[1]) >= 0.95)
+
+
+def test_graph_by_insertion_finds_neighbours():
+    rnd = np.random.default_rng(5)
+    x = rnd.standard_normal((700, 12))
+    x = np.concatenate([x, x[:200] + 0.1 * rnd.standard_normal((200, 12))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = embedding_dedup.build(x, 20, 64, 1.2, 1)
+    assert max(map(len, links)) <= 30 and all(len(set(v.tolist())) == len(v) and k not in v for k, v in enumerate(links))
+    a, b = embedding_dedup.search(x, links, 0.9, 48)
+    got = {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i < j}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)))}
+    assert got <= want | got and len(got & want) >= 0.99 * len(want)
+
+
+def test_low_recall_is_an_error(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.standard_normal((50, 8))
+    x = np.concatenate([x, x + 0.01])
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.embedding_dedup(df, recall=1.1, tries=1)
+
+
 def test_shards_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     monkeypatch.setattr(embedding_dedup, "CENTROIDS", 2)
