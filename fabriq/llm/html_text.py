@@ -2,9 +2,12 @@
 
 Each page is parsed to a tree; the subtrees of its block elements are hashed, and Spark counts in how many pages of a
 host each hash occurs.  A subtree that at least ``least_pages`` pages and ``share`` of the host's pages have is part of the
-site's template and deleted, as are elements that say what they are by tag, role or class (``SKIP``, ``BOILERPLATE``).  Where a page
-marks its content (article, main), only that is read, and its headings and paragraphs are kept however often they recur: a sentence
-that many articles quote is still theirs.
+site's template and deleted, as are elements that say what they are by tag, by role or by the whole name of a class or id (``SKIP``,
+``BOILERPLATE``; a name of several words counts if all of them are listed, or ``NEUTRAL`` beside a listed one).  Where a page
+marks its content (article, main), only that is read.  Inside it the template takes only subtrees most of whose text is links:
+what many articles of a site quote, list or share is still theirs, and counts alone would delete it (an article that stands
+under three addresses would be gone from all).  So on marked pages the marks decide nearly everything, and the counted template what
+is around and between; on pages without marks the counted template decides.
 
 Text: character references decoded, each run of white space in a block one space, trimmed, blocks without text left out, joined in
 page order by a blank line.  ``br`` is white space.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,41 +35,50 @@ from .common import BROADCAST_KEYS, Scratch, arrow_rows, slices, table
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-SKIP = set("head nav footer aside form menu dialog button input select option svg object canvas audio video map math search".split()) | RAW
-WORDS = set("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt figcaption td th".split())
-BOILERPLATE = set("ad ads advert advertisement advertising adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager widget skip toolbar".split())
+SKIP = set("head nav footer aside form menu dialog button input select option svg object canvas audio video map search".split()) | RAW
+BOILERPLATE = set("ad ads advert advertisement advertising adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager toolbar".split())
+NEUTRAL = set("site page main top bottom left right list box block bar area section wrapper container content inner outer global primary secondary items item links link posts post articles article icons icon buttons button form panel header js region widget".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# tags by the rules of HTML: quotes open a value only after the equals sign, and a value without quotes ends at white space
+ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+)*+"""
+TOKEN = re.compile(rf"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s>]*+)))?+""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "raw", "kids", "hash", "_attrs")
+    __slots__ = ("tag", "raw", "kids", "hash", "linked", "_attrs")
 
     def __init__(self, tag: str, raw: str):
-        self.tag, self.raw, self.kids, self.hash, self._attrs = tag, raw, [], None, None
+        self.tag, self.raw, self.kids, self.hash, self.linked, self._attrs = tag, raw, [], None, False, None
 
     @property
     def attrs(self) -> dict[str, str]:
         if self._attrs is None:
-            self._attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.raw)} if "=" in self.raw else {}
+            self._attrs = {}
+            for m in ATTRIBUTE.finditer(self.raw):  # of several of one name the first counts
+                self._attrs.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
         return self._attrs
 
     def boilerplate(self) -> bool:
         if self.tag in SKIP:
             return True
-        if not self.raw:
+        if not self.raw or self.tag in ("body", "html", "main"):
             return False
         a = self.attrs
-        if a.get("role", "").lower() in ROLES or a.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", self.raw):
+        if a.get("role", "").lower() in ROLES or a.get("aria-hidden", "").lower() == "true" or "hidden" in a:
             return True
-        if self.tag in ("body", "html", "article", "main") and not a.keys() & {"class", "id"}:
-            return False
-        return self.tag not in ("body", "html", "main") and any(w.lower() in BOILERPLATE for k in ("class", "id") for w in NAME.findall(a.get(k, "")))
+        return any(named(token) for k in ("class", "id") for token in a.get(k, "").split())
+
+
+@lru_cache(100_000)
+def named(token: str) -> bool:
+    """Whether a class or id says that the element is none of the article."""
+    words = [w.lower() for w in NAME.findall(token)]
+    return any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL or w.isdigit() for w in words)
 
 
 def parse(page: str | None) -> Node:
@@ -114,8 +127,8 @@ def parse(page: str | None) -> Node:
 
 
 def hashed(root: Node) -> list[tuple[Node, bool]]:
-    """All block elements with their subtree hashes, children first, and whether the page marks them as content."""
-    out, todo = [], [(root, False, False)]
+    """All block elements with their subtree hashes, children first, and whether the page marks them as content; nodes learn if most of their text is links."""
+    out, todo, sizes = [], [(root, False, False)], {}
     while todo:
         node, inside, seen = todo.pop()
         if not seen:
@@ -123,22 +136,32 @@ def hashed(root: Node) -> list[tuple[Node, bool]]:
             todo += [(k, inside or node.tag in ("article", "main"), False) for k in node.kids if isinstance(k, Node)]
             continue
         h = xxhash.xxh64(f"<{node.tag} {node.attrs.get('class', '')}>")
-        text = False
+        some, text, links = False, 0, 0
         for k in node.kids:
             if isinstance(k, Node):
                 h.update(k.hash.to_bytes(8, "little"))
-                text = True
+                some = True
+                a, b = sizes.pop(id(k))
+                text, links = text + a, links + b
             elif w := " ".join(k.split()):
                 h.update(w)
-                text = True
+                some = True
+                text += len(w)
         node.hash = h.intdigest()
-        if text and node.tag in BLOCK:
+        sizes[id(node)] = text, text if node.tag == "a" else links
+        node.linked = 2 * sizes[id(node)][1] > text
+        if some and node.tag in BLOCK:
             out.append((node, inside))
     return out
 
 
+def deletable(node: Node, inside: bool) -> bool:
+    """Whether the template may have the node."""
+    return node.tag not in ("html", "body", "head", "article", "main") and (node.linked or not inside)
+
+
 def template_candidates(root: Node) -> set[int]:
-    return {n.hash for n, inside in hashed(root) if n.tag not in ("html", "body", "head", "article", "main") and not (inside and n.tag in WORDS)}
+    return {n.hash for n, inside in hashed(root) if deletable(n, inside)}
 
 
 def main_text(root: Node, template: set[int]) -> str:
@@ -152,11 +175,6 @@ def main_text(root: Node, template: set[int]) -> str:
             starts.append(node)
             continue
         todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
-    # a main that has articles is read by these
-    picked = []
-    for s in starts:
-        inner = [n for n in _walk(s) if n.tag == "article" and not n.boilerplate()] if s.tag == "main" else []
-        picked += inner or [s]
     blocks: list[list[str]] = [[]]
 
     def read(start: Node, inside: bool) -> None:
@@ -172,7 +190,7 @@ def main_text(root: Node, template: set[int]) -> str:
             if x is not start:
                 if x.boilerplate() or x.tag == "header" and not inside:
                     continue
-                if x.hash in template and not (inside and x.tag in WORDS) and x.tag not in ("html", "body", "article", "main"):
+                if x.hash in template and deletable(x, inside):
                     continue
             if x.tag in BLOCK:
                 blocks.append([])
@@ -182,29 +200,20 @@ def main_text(root: Node, template: set[int]) -> str:
             deep = inside or x.tag in ("article", "main")
             todo += [(k, deep, 0) for k in reversed(x.kids)]
 
-    for s in picked or [root]:
-        read(s, bool(picked))
+    for s in starts or [root]:
+        read(s, bool(starts))
         blocks.append([])
     # references stand within one piece of text, as markup ends them
     texts = (" ".join("".join(html.unescape(p) for p in b).split()) for b in blocks)
     return "\n\n".join(t for t in texts if t)
 
 
-def _walk(node: Node):
-    todo = [k for k in reversed(node.kids) if isinstance(k, Node)]
-    while todo:
-        x = todo.pop()
-        yield x
-        if x.tag != "article":
-            todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
-
-
 def host(url: Column) -> Column:
     name = F.regexp_extract(F.lower(url), r"^\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return F.coalesce(name, F.lit(""))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, share: float = 0.005) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.02) -> DataFrame:
     """(id_col, url_col, text, n_chars) of each page."""
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(id_col, url_col, F.col(html_col).alias("__html"), host(F.col(url_col)).alias("__host"))

@@ -379,6 +379,57 @@ def test_html_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<div class="content no-sidebar"><p>kept text</p></div>', "kept text"),
+    ('<article class="post comments-open"><p>kept text</p></article>', "kept text"),
+    ('<article><p data-title="a hidden gem">kept</p><p hidden>gone</p><p hidden="">gone</p></article>', "kept"),
+    ("<article><p title=it's>one</p><p>two don't</p></article>", "one\n\ntwo don't"),
+    ("<main><h1>Title</h1><article><p>body</p></article><p>after</p></main>", "Title\n\nbody\n\nafter"),
+    ("<article><p>area <math><mi>x</mi></math> squared</p></article>", "area x squared"),
+    ('<article><p>a</p><div class="site-nav">n</div><div id="cookieBanner">c</div><ul class="comment-list"><li>r</li></ul><div class="comments">r</div></article>', "a"),
+    ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
+    ("<article><p>" + "long words " * 60_000 + "</p></article>", ("long words " * 60_000).strip()),
+    ("<p a='>' b=\">\">quoted</p><p/>x", "quoted\n\nx"),
+])
+def test_html_of_a_page(page, want):
+    root = html_text.parse(page)
+    html_text.hashed(root)
+    assert html_text.main_text(root, set()) == want
+
+
+def reference_template(pages, least_pages, share):
+    """Brute force of the counted template, by the subtrees' serialised content instead of hashes."""
+    def said(n):
+        return f"<{n.tag} {n.attrs.get('class', '')}>" + "".join(said(k) if isinstance(k, html_text.Node) else " ".join(k.split()) for k in n.kids) + "</>"
+
+    seen, hosts, trees = {}, Counter(), []
+    for url, page in pages:
+        host = re.match(r"https?://([^/]*)", url)[1]
+        hosts[host] += 1
+        root = html_text.parse(page)
+        nodes = [(n, said(n)) for n, inside in html_text.hashed(root) if html_text.deletable(n, inside)]
+        trees.append((host, root, nodes))
+        for x in {t for _, t in nodes}:
+            seen[host, x] = seen.get((host, x), 0) + 1
+    return [html_text.main_text(root, {n.hash for n, t in nodes if seen[host, t] >= max(least_pages, hosts[host] * share)}) for host, root, nodes in trees]
+
+
+def test_html_templates_against_brute_force(spark):
+    """Unmarked and marked pages of two hosts, blocks that recur at, below and above the threshold, repeated rows."""
+    rnd = random.Random(31)
+    blocks = [f"<div><p>{text(rnd, 6)}</p></div>" for _ in range(12)]
+    pages = []
+    for k in range(60):
+        some = "".join(b for j, b in enumerate(blocks) if k % (j + 1) == 0)
+        body = f"<h1>{text(rnd, 3)}</h1><div><p>{text(rnd, 8)}</p></div>"
+        pages.append((f"https://h{k % 2}.example/{k}", f"<body>{some}<article>{body}{blocks[0]}<ul><li><a>all</a></li></ul></article></body>" if k % 3 == 0 else f"<body>{some}{body}</body>"))
+    pages += [pages[4], pages[4]]
+    df = spark.createDataFrame([(k, u, p) for k, (u, p) in enumerate(pages)], "page_id long, url string, html string")
+    for least, share in ((5, 0.02), (5, 0.2), (2, 0.0)):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df, least_pages=least, share=share).collect()}
+        assert [got[k] for k in range(len(pages))] == reference_template(pages, least, share)
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nsecond line"), (1, 1, "assistant", "First answer\n\nwith block two"), (1, 2, "user", "> First   answer\n\nwhy?"), (1, 3, "assistant", "On Monday, a wrote:\n> why?\n>> first ANSWER\nbecause"), (1, 4, "user", "> hello there\nbranching"), (1, 5, None, "> with block two\nfoo"), (2, 0, "user", None), (2, 1, "user", ""), (None, 1, "user", "> x\nkeep"), (4, None, "user", "t"), (5, 700, "user", "late"), (5, 2, "user", "early"), (5, 2, "user", "early too")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, hash string")
