@@ -132,14 +132,28 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def conversations(linked: DataFrame, part: int = 1_024) -> DataFrame:
-    """(conv_id, branch, part, formatted): reading texts of branches, cut into parts of ``part`` turns so that no group is unbounded."""
-    rows = linked.where("branch is not null").withColumn("part", F.floor(F.col("turn") / part))
-    got = rows.groupBy("conv_id", "branch", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "formatted"))).alias("m"))
-    return got.select("conv_id", "branch", "part", F.array_join("m.formatted", "").alias("formatted"))
+    """(conv_id, branch, part, reply_to, turns, n_messages, n_quoted, n_linked, formatted): the reading text of each branch.
+
+    Messages stand by turn; a branch of more than ``part`` messages goes on in further parts, so that no row is unbounded.
+    reply_to is the turn that the part's first message answers.  Messages without conversation or turn are rows by themselves.
+    """
+    rows = linked.where("branch is not null").withColumn("block", F.floor(F.col("turn") / BLOCK))
+    key = ["conv_id", "branch", "block"]
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("conv_id", "branch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("turn", "role", "formatted")))
+    rows = rows.join(counts.select(*key, F.coalesce(ahead, F.lit(0)).alias("ahead")), key)
+    rows = rows.withColumn("r", F.col("r") + F.col("ahead") - 1).withColumn("part", F.floor(F.col("r") / part))
+    got = rows.groupBy("conv_id", "branch", "part").agg(F.array_sort(F.collect_list(F.struct("r", "turn", "parent_turn", "formatted"))).alias("m"), F.sum("n_quoted").alias("n_quoted"), F.sum("n_linked").alias("n_linked"))
+    got = got.select("conv_id", "branch", "part", F.get("m.parent_turn", F.lit(0)).alias("reply_to"), F.array_join(F.transform("m.turn", lambda x: x.cast("string")), ",").alias("turns"), F.size("m").cast("long").alias("n_messages"), "n_quoted", "n_linked", F.array_join("m.formatted", "").alias("formatted"))
+    none = F.lit(None).cast("long")
+    loose = linked.where("branch is null").select("conv_id", none.alias("branch"), F.lit(0).cast("long").alias("part"), none.alias("reply_to"), F.coalesce(F.col("turn").cast("string"), F.lit("")).alias("turns"), F.lit(1).cast("long").alias("n_messages"), F.col("n_quoted").cast("long").alias("n_quoted"), F.col("n_linked").cast("long").alias("n_linked"), "formatted")
+    return got.unionByName(loose)
 
 
 def op6_chat_formatting(spark, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    linked = link_quotes(table(spark, sf_dir, "conversations"))
+    return conversations(Scratch(spark, "conversations").save(linked))
 
 
 SQL = r"""
@@ -164,6 +178,10 @@ turns AS (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND tur
 nodes AS (SELECT t.conv_id, t.turn, coalesce(quoted_turn, lag(t.turn) OVER (PARTITION BY t.conv_id ORDER BY t.turn)) AS parent_turn, coalesce(n_linked, 0) AS n_linked FROM turns t LEFT JOIN linked USING (conv_id, turn)),
 step AS (SELECT conv_id, turn, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id, parent_turn) THEN parent_turn END AS up FROM nodes),
 branch AS (SELECT conv_id, turn, turn AS branch FROM step WHERE up IS NULL UNION ALL SELECT s.conv_id, s.turn, b.branch FROM step s JOIN branch b ON s.conv_id = b.conv_id AND s.up = b.turn)
-SELECT s.conv_id, s.turn, s.role, s.text, parent_turn, branch, CAST(n_quoted AS INTEGER) AS n_quoted, CAST(coalesce(n_linked, 0) AS INTEGER) AS n_linked,
+, msg AS (SELECT s.conv_id, s.turn, s.role, parent_turn, branch, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
   '<|' || coalesce(s.role, 'unknown') || '|>' || chr(10) || coalesce(s.text, '') || chr(10) AS formatted
-FROM said s LEFT JOIN nodes USING (conv_id, turn) LEFT JOIN branch USING (conv_id, turn)"""
+ FROM said s LEFT JOIN nodes USING (conv_id, turn) LEFT JOIN branch USING (conv_id, turn)),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id, branch ORDER BY turn, role NULLS FIRST, formatted) - 1 AS r FROM msg WHERE branch IS NOT NULL)
+SELECT conv_id, branch, r // 1024 AS part, list(parent_turn ORDER BY r)[1] AS reply_to, string_agg(turn, ',' ORDER BY r) AS turns, count(*) AS n_messages, CAST(sum(n_quoted) AS BIGINT) AS n_quoted, CAST(sum(n_linked) AS BIGINT) AS n_linked, string_agg(formatted, '' ORDER BY r) AS formatted
+FROM num GROUP BY conv_id, branch, r // 1024
+UNION ALL SELECT conv_id, NULL, 0, NULL, coalesce(CAST(turn AS VARCHAR), ''), 1, n_quoted, n_linked, formatted FROM msg WHERE branch IS NULL"""

@@ -15,7 +15,8 @@ prefix filter inside, so a bucket of any size is spread, and a much changed copy
 
 Defined results: null or empty text: no paragraph, nothing removed, text stays null or empty.  A row without id stays
 whole.  Rows with one id are never each other's source.  Repeats inside one document stay.  Removed words go with the
-white space after them.
+white space after them.  A passage is ``run_words`` words or more: a shorter line or run that documents share is no passage and stays.  A column that
+is named as an output stays, with a leading underscore.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from .common import BROADCAST_KEYS, Scratch, arrow_rows, buckets, connected_components, slices, table
+from .common import BROADCAST_KEYS, Scratch, arrow_rows, buckets, connected_components, fresh_names, slices, table
 from .jaccard import EDGE, local_links
 from .suffix_dedup import _slide
 from .words import _SEP, _hash, chain, mix
@@ -131,6 +132,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with text_col less what other documents have kept, and n_paragraphs, n_removed (runs of words), removed_words."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
+    own = fresh_names(docs.columns, ["n_paragraphs", "n_removed", "removed_words", "__lost", "__copy", "__id", "__key", "__row"])
+    docs, id_col, text_col = docs.withColumnsRenamed(own), own[id_col], own[text_col]
     nb = buckets(spark)
     bands, rows = tune(num / den, recall)
     row_key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))

@@ -172,6 +172,42 @@ def test_substring_dedup(spark):
     assert 1 - (1 - 0.8**3) ** substring_dedup.tune(0.8, 0.98)[0] >= 0.98
 
 
+def test_substring_dedup_of_odd_tables(spark):
+    """Columns named as outputs and as the operator's own, very long texts, texts of one word, ties of equal ids."""
+    rnd = random.Random(41)
+    long = text(rnd, 40_000)
+    rows = [(1, long), (2, "intro " + long), (3, "w " * 30_000), (4, "w " * 30_000 + "w"), (5, "\n" * 5_000), (2, "intro " + long)]
+    df = spark.createDataFrame([(i, t, "a", 1, 2, 3, True) for i, t in rows], "doc_id long, text string, n_removed string, __copy int, __lost int, __key int, n_paragraphs boolean")
+    got = substring_dedup.substring_dedup(df)
+    assert {"_n_removed", "_n_paragraphs", "n_removed", "n_paragraphs"} <= set(got.columns)
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert got.count() == 6 and by[1]["text"] == long and by[2]["text"] == "" and by[2]["_n_removed"] == "a"
+    assert by[3]["text"] == rows[2][1] and by[4]["text"].strip() == "" and by[5]["text"] == rows[4][1]
+
+
+def test_language_id_of_odd_tables(spark):
+    """Clashing names, ties between languages, repeated rows, no rows; scores against the rule by brute force."""
+    rows = [(1, "ab ab cd", "xx"), (2, "ab ef", "yy"), (3, "gh", "xx"), (3, "gh", "xx")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(train, "doc_id", "text", "lang")
+    counts = {"xx": Counter("ab ab cd gh gh".split()), "yy": Counter("ab ef".split())}
+    rule = lambda w: [math.log10(c[w] / sum(c.values())) if c[w] else -language_id.PENALTY for c in counts.values()]
+    df = spark.createDataFrame([(k, t, "s", 0.5) for k, t in ((1, "AB"), (2, "ab ef ef"), (2, "ab ef ef"), (3, "zz9"))], "doc_id long, text string, lang_pred string, score double")
+    got = language_id.identify(df, model, keep=["lang_pred", "score", "text"])
+    assert got.columns == ["doc_id", "_lang_pred", "_score", "text", "lang_pred", "score"] and got.where("doc_id = 2").count() == 2
+    for r in got.collect():
+        words = [w for w in re.findall("[a-z]+", r["text"].lower()) if any(c[w] for c in counts.values())]
+        if words:
+            mean = [sum(x) / len(words) for x in zip(*map(rule, words))]
+            odds = [10 ** ((m - max(mean)) * math.sqrt(len(words))) for m in mean]
+            assert r["lang_pred"] == ("xx", "yy")[mean.index(max(mean))] and abs(r["score"] - max(odds) / sum(odds)) < 1e-5
+        else:
+            assert (r["lang_pred"], r["score"]) == ("xx", 0.5)  # nothing known: the language with most rows
+    even = language_id.train(spark.createDataFrame([(1, "qq", "b"), (2, "qq", "a")], train.schema), "doc_id", "text", "lang")
+    assert {r["lang_pred"] for r in language_id.identify(spark.createDataFrame([(1, "qq")], "doc_id long, text string"), even).collect()} == {"a"}
+    assert language_id.identify(df.limit(0), model).count() == 0
+
+
 def test_suffix_dedup(spark, rows):
     rnd = random.Random(5)
     share = text(rnd, 30)
@@ -437,7 +473,11 @@ def test_quotes(spark):
     assert len(got) == len(rows)
     assert got[1, 3, "because"] == (2, 0, 2, 2) and got[1, 4, "branching"] == (0, 4, 1, 1) and got[1, 5, "foo"] == (1, 5, 1, 1) and got[1, 2, "why?"] == (1, 0, 1, 1)
     assert got[2, 0, None] == (None, 0, 0, 0) and got[2, 1, ""][0] == 0 and got[None, 1, "keep"] == (None, None, 1, 0) and got[5, 700, "late"] == (2, 2, 0, 0)
-    parts = {(r["branch"]): r["formatted"] for r in quotes.conversations(quotes.link_quotes(df)).where("conv_id = 1").collect()}
+    whole = quotes.conversations(quotes.link_quotes(df))
+    parts = {(r["branch"]): r["formatted"] for r in whole.where("conv_id = 1").collect()}
+    assert whole.agg(F.sum("n_messages")).first()[0] == len(rows)
+    by = {(r["branch"], r["part"]): (r["reply_to"], r["turns"], r["formatted"]) for r in quotes.conversations(quotes.link_quotes(df), part=3).where("conv_id = 1").collect()}
+    assert by[0, 0][0] is None and by[0, 0][1] == "0,1,2" and by[0, 1] == (2, "3", parts[0][parts[0].index("<|assistant|>\nbecause"):]) and by[4, 0][0] == 0
     assert parts[0].count("<|") == 4 and parts[5] == "<|unknown|>\nfoo\n"
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
