@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns documents' columns (the last: the mixture's rows); run() writes every stage's
 rows under spark.checkpoint.dir and reads them again as the next one's docs.
+
+Defined results, stage by stage.  language: null, empty or letter-free texts are rejected (no language), as is everything where no row has a
+lang to learn from; near_duplicates: rows that share a doc_id are one document, kept or dropped together, and rows without one stay;
+passages: rows without doc_id stay whole, a document of which nothing is left goes; decontamination: judged row by row;
+mixture: a null lang or source is a leaf of its own.  Empty tables give empty results, an empty benchmark drops nothing.  Columns of documents
+other than COLUMNS are left out from the first stage on.
 """
 
 from __future__ import annotations
