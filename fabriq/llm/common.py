@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -18,6 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say: a worker's memory goes with it, as does the JVM's beside its heap.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH)
+
+
+def release() -> None:
+    """Give memory that numpy and Arrow have freed back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 class Scratch:
     """Tables written under ``spark.checkpoint.dir``: they cut lineage, and every executor can read them again.
 
@@ -36,6 +57,7 @@ class Scratch:
         self._count = 0
         path, fs = self._fs(self.root)
         fs.deleteOnExit(path)
+        small_batches(spark)
 
     def _fs(self, where: str):
         jvm = self.spark.sparkContext._jvm
@@ -98,7 +120,7 @@ def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, rows: int = 5_000):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000, rows: int = 5_000):
     """Parts of a batch of about ``most`` bytes of text, one row at least."""
     at, n = 0, batch.num_rows
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -109,6 +131,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, rows: int
             end += 1
         yield batch.slice(at, end - at)
         at = end
+    release()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 200, one_task: int = 200_000) -> DataFrame:

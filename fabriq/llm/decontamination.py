@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import fresh_names, slices, table
+from .common import fresh_names, slices, small_batches, table
 from .words import mix, word_hashes
 
 #: Walks that tuning may take, and items that it damages (chosen evenly).
@@ -261,6 +261,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     listed = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     total = listed.count()
     blocks = max(1, -(-total // block))
+    small_batches(spark)
     names = fresh_names(docs.columns, ["matches"])
     out = docs.withColumnsRenamed(names)
     columns, text_col = out.columns, names[text_col]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_rows, fresh_names, semi_size, slices, table
+from .common import arrow_rows, fresh_names, semi_size, slices, small_batches, table
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ASCII = re.compile(r"[a-z]+")  # the same for lower-cased texts of ASCII
@@ -213,6 +213,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_p
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' id (and the columns in keep) with lang_pred and score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables, model.prior))
     keep = [id_col, *(c for c in keep or [] if c != id_col)]
     names = fresh_names(keep, ["lang_pred", "score"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from .common import BROADCAST_KEYS, Scratch, arrow_rows, buckets, connected_components, fresh_names, slices, table
+from .common import BROADCAST_KEYS, Scratch, arrow_rows, buckets, connected_components, fresh_names, release, slices, table
 from .jaccard import EDGE, local_links
 from .suffix_dedup import _slide
 from .words import _SEP, _hash, chain, mix
@@ -48,7 +48,7 @@ def tune(similarity: float, recall: float, rows: int = 3) -> tuple[int, int]:
 class Paragraphs:
     """The words of some texts, and the spans of words (a to b) of their paragraphs: lines before pieces in each text."""
 
-    def __init__(self, texts: list[str | None], reach: int, least_words: int, piece: int = 1 << 21):
+    def __init__(self, texts: list[str | None], reach: int, least_words: int, piece: int = 1 << 20):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.begins = np.cumsum([0] + [len(r) + 1 for r in raw])
         data = self.data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -169,7 +169,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def banded(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 p = Paragraphs(part.column("text").to_pylist(), reach, least_words)
                 number = p.number()
                 lines, pieces = np.flatnonzero(p.kind == 0), np.flatnonzero(p.kind == 1)
@@ -194,6 +194,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def meet(got: pa.Table) -> pa.Table:
         """Paragraphs that have a signature in common with another document's."""
+        release()
         sig = np.concatenate([np.frombuffer(b, np.uint64) for b in got.column("sigs").to_pylist()])
         own = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in got.column("docs").to_pylist()])
         at = np.concatenate([np.frombuffer(b, np.int32) for b in got.column("at").to_pylist()])
@@ -216,7 +217,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def around(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 p = Paragraphs(part.column("text").to_pylist(), reach, least_words)
                 near = np.zeros(len(p.h) + 1, bool)
                 near[np.concatenate([p.at[k] - 1 - np.array(x, np.int64) for k, x in enumerate(part.column("ats").to_pylist())])] = True
@@ -236,7 +237,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def contents(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 p = Paragraphs(part.column("text").to_pylist(), reach, least_words)
                 sh = chain(p.h, n)
                 ats = part.column("ats").to_pylist()
@@ -283,7 +284,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 2_000_000):
+            for part in slices(batch, text_col, 1_000_000):
                 texts = part.column(text_col).to_pylist()
                 p = Paragraphs(texts, reach, least_words)
                 ats, whole = part.column("__lost").to_pylist(), part.column("__copy").to_pylist()

@@ -51,7 +51,7 @@ def _hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64) * _P), s, e
 
 
-def word_hashes(texts: list[str | None], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hashes of all words, and where each text's words begin (one entry more than texts).
 
     Works in pieces of about ``piece`` bytes that end between words, so memory doesn't follow the length of a text.
