@@ -192,8 +192,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met_schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
 
-    def meet(got: pa.Table) -> pa.Table:
-        """Paragraphs that have a signature in common with another document's."""
+    def meet(got: pa.Table, seeds: bool) -> pa.Table:
+        """Paragraphs that have a signature in common with another document's; of equal pieces and runs only those that another keeps."""
         release()
         sig = np.concatenate([np.frombuffer(b, np.uint64) for b in got.column("sigs").to_pylist()])
         own = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in got.column("docs").to_pylist()])
@@ -202,15 +202,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.argsort(sig, kind="stable")
         sig, own, at = sig[order], own[order], at[order]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        mixed = np.minimum.reduceat(own[:, 0], starts) != np.maximum.reduceat(own[:, 0], starts)
-        keep = np.repeat(mixed, np.diff(np.r_[starts, len(sig)]))
+        count = np.diff(np.r_[starts, len(sig)])
+        keeper = np.minimum.reduceat(own[:, 0], starts)
+        keep = np.repeat(keeper != np.maximum.reduceat(own[:, 0], starts), count)
+        keep &= ((at < PIECE) & ((at >= 0) | seeds)) | (own[:, 0] != np.repeat(keeper, count))
         return pa.Table.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(own[keep, 0]), pa.array(own[keep, 1]), pa.array(at[keep])], schema=met_schema)
 
-    met = scratch.save(single.mapInArrow(banded, "bucket int, sigs binary, docs binary, at binary").groupBy("bucket").applyInArrow(meet, "sig long, id long, key long, at int"), tidy=True)
+    met = scratch.save(single.mapInArrow(banded, "bucket int, sigs binary, docs binary, at binary").groupBy("bucket").applyInArrow(lambda got: meet(got, seeds=True), "sig long, id long, key long, at int"), tidy=True)
     is_piece, is_line = F.col("at") >= PIECE, (F.col("at") >= 0) & (F.col("at") < PIECE)
-    equal = met.where(is_piece)
-    keeper = equal.groupBy("sig").agg(F.min("id").alias("keeper"))
-    lost_pieces = equal.join(keeper, "sig").where("id != keeper").select("id", "key", (F.col("at") - PIECE).alias("at"))
+    lost_pieces = met.where(is_piece).select("id", "key", (F.col("at") - PIECE).alias("at"))
 
     # Seeds that met: the runs around them.
     seeded = met.where("at < 0").groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
@@ -228,8 +228,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     own = p.owner(starts)
                     yield from dealt(mix(chain(p.h, run_words)[starts]), own, p.at[own] - starts - 1, part)
 
-    again = scratch.save(single.join(seeded, ["id", "key"]).mapInArrow(around, "bucket int, sigs binary, docs binary, at binary").groupBy("bucket").applyInArrow(meet, "sig long, id long, key long, at int"), tidy=True)
-    lost_runs = again.join(again.groupBy("sig").agg(F.min("id").alias("keeper")), "sig").where("id != keeper").select("id", "key", "at")
+    runs = single.join(seeded, ["id", "key"]).mapInArrow(around, "bucket int, sigs binary, docs binary, at binary")
+    lost_runs = scratch.save(runs.groupBy("bucket").applyInArrow(lambda got: meet(got, seeds=False), "sig long, id long, key long, at int").select("id", "key", "at"), tidy=True)
 
     # Lines that met: their contents, one row for each different one from here on.
     wanted = met.where(is_line).groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
