@@ -21,16 +21,6 @@ def edges_bgp(f: Facts):
     return got.select(F.col("src").alias("node"), F.col("dst").alias("remote_node"), F.when(F.col("local_as") == F.col("remote_as"), "IBGP").otherwise("EBGP").alias("kind"), "local_as", "remote_as")
 
 
-@question("""SELECT e.src AS node, e.dst AS remote_node, CASE WHEN NOT a.active THEN 'LOCAL_DOWN' WHEN b.node IS NULL THEN 'UNKNOWN_REMOTE' WHEN NOT b.active THEN 'REMOTE_DOWN' WHEN a.asn > 65020 AND b.asn > 65020 THEN 'AS_MISMATCH' ELSE 'COMPATIBLE' END AS status
- FROM edge e JOIN node a ON a.node = e.src LEFT JOIN (SELECT * FROM node WHERE node % 13 <> 0) b ON b.node = e.dst""")
-def bgp_session_compatibility(f: Facts):
-    a = f.node.select(F.col("node").alias("src"), F.col("active").alias("up"), F.col("asn").alias("my_as"))
-    b = f.node.where("node % 13 <> 0").select(F.col("node").alias("dst"), F.col("active").alias("peer_up"), F.col("asn").alias("peer_as"))
-    got = f.edge.join(a, "src").join(b, "dst", "left")
-    status = F.when(~F.col("up"), "LOCAL_DOWN").when(F.col("peer_up").isNull(), "UNKNOWN_REMOTE").when(~F.col("peer_up"), "REMOTE_DOWN").when((F.col("my_as") > 65020) & (F.col("peer_as") > 65020), "AS_MISMATCH").otherwise("COMPATIBLE")
-    return got.select(F.col("src").alias("node"), F.col("dst").alias("remote_node"), status.alias("status"))
-
-
 @question("SELECT a.node, a.num, b.node AS remote_node, b.num AS remote_num, CASE WHEN a.mtu <> b.mtu THEN 'MTU_MISMATCH' WHEN a.node % 4 <> b.node % 4 THEN 'AREA_MISMATCH' ELSE 'ESTABLISHED' END AS status, greatest(1, 100000 // a.bandwidth) AS cost FROM interface a JOIN interface b ON a.ip // 256 = b.ip // 256 AND a.node <> b.node AND a.num = b.num WHERE a.active AND b.active")
 def ospf_sessions(f: Facts):
     up = f.interface.where("active").withColumn("subnet", F.expr("ip div 256"))
@@ -61,13 +51,6 @@ def edges_vxlan(f: Facts):
     return v.join(v.withColumnsRenamed({"node": "remote_node", "ip": "remote_ip"}), "vni").where("ip <> remote_ip").select("node", "remote_node", "vni")
 
 
-@question("SELECT a.src AS node, a.dst AS remote_node, CASE WHEN a.src % 6 = 0 THEN 'IKE_FAILED' WHEN len(list_intersect([a.src % 3, 5], [a.dst % 3, 5 + a.dst % 2])) = 0 THEN 'NO_PROPOSAL' ELSE 'ESTABLISHED' END AS status FROM undirected a WHERE a.src < a.dst")
-def ipsec_sessions(f: Facts):
-    u = f.undirected.where("src < dst")
-    common = F.size(F.array_intersect(F.array(F.col("src") % 3, F.lit(5).cast("long")), F.array(F.col("dst") % 3, 5 + F.col("dst") % 2)))
-    return u.select(F.col("src").alias("node"), F.col("dst").alias("remote_node"), F.when(F.col("src") % 6 == 0, "IKE_FAILED").when(common == 0, "NO_PROPOSAL").otherwise("ESTABLISHED").alias("status"))
-
-
 @question("SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edge")
 def undirected_edges(f: Facts):
     return f.edge.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()

@@ -39,6 +39,41 @@ class Facts:
         e = self.edge.select("src", "dst")
         return e.union(e.select("dst", "src")).distinct()
 
+    @property
+    def peer(self) -> DataFrame:
+        """BGP peers, one for each directed adjacency; settings are missing or wrong here and there."""
+        e = self.undirected
+        own = lambda c: F.lit(167772161).cast("long") + F.expr(f"{c} div 2") * 256 + F.col(c) % 2 * 128
+        kind = F.when((2 * F.col("src") + F.col("dst")) % 7 == 0, "PASSIVE").when((F.col("src") + F.col("dst")) % 6 == 5, "UNNUMBERED").otherwise("ACTIVE")
+        local_ip = F.when(F.col("src") % 11 == 3, None).when(F.col("src") % 13 == 5, F.lit(1)).otherwise(own("src")).cast("long")
+        remote_ip = F.when(F.col("dst") % 19 == 1, None).when(F.col("dst") % 17 == 2, F.lit(3)).otherwise(own("dst")).cast("long")
+        remote_as = F.when((F.col("src") + F.col("dst")) % 23 == 0, None).otherwise(65000 + F.col("dst") % 5 + F.when(F.col("dst") % 9 == 0, 1).otherwise(0)).cast("long")
+        size = F.when(F.col("src") % 3 == 0, 8).otherwise(16)
+        return e.select((F.col("src") * 1000003 + F.col("dst")).alias("id"), F.col("src").alias("node"), kind.alias("kind"), local_ip.alias("local_ip"), F.when(F.col("src") % 29 == 0, None).otherwise(65000 + F.col("src") % 5).cast("long").alias("local_as"), remote_ip.alias("remote_ip"), remote_as.alias("remote_as"), F.when(F.col("src") % 10 != 7, F.lit(167772160)).cast("long").alias("remote_network"), size.alias("remote_plen"), F.lit(1).cast("long").alias("num"), (F.col("src") % 4 == 1).alias("multihop"), (F.col("src") % 6 == 0).alias("reflector_client"))
+
+    @property
+    def adjacency(self) -> DataFrame:
+        """Ends of links without addresses: the first ports of neighbours in the graph."""
+        one = F.lit(1).cast("long")
+        return self.undirected.select(F.col("src").alias("node"), one.alias("num"), F.col("dst").alias("remote_node"), one.alias("remote_num"))
+
+    @property
+    def ospf(self) -> DataFrame:
+        """OSPF settings of the active interfaces."""
+        n, k = F.col("node"), F.col("num")
+        area = F.when(k % 7 == 0, None).when(k % 2 == 0, n % 4).otherwise(0).cast("long")
+        kind = F.when(k % 3 == 0, None).when(n % 5 == 0, "POINT_TO_POINT").when(k == 5, "NON_BROADCAST_MULTI_ACCESS").otherwise("BROADCAST")
+        hello = 10 + F.when(n % 12 == 0, 5).otherwise(0)
+        i = self.interface.where("active")
+        return i.select("node", "num", F.when(n % 13 != 0, F.lit("1")).alias("process"), area.alias("area"), (F.coalesce(area, F.lit(0)) != 3).alias("area_valid"), ((n + k) % 6 == 0).alias("passive"), (n - F.when(n % 10 == 9, 1).otherwise(0)).alias("router_id"), F.when((area == 1) & (n % 8 != 1), "STUB").otherwise("NONE").alias("stub_type"), kind.alias("network_type"), "ip", "plen", hello.alias("hello"), (4 * hello + F.when(n % 14 == 0, 1).otherwise(0)).alias("dead"), F.array(F.col("ip") + 1, F.col("ip") + 128, F.col("ip") - 128).alias("nbma_neighbors"))
+
+    @property
+    def tunnel(self) -> DataFrame:
+        """IPsec ends: two for most pairs of neighbours, one for some."""
+        e = self.undirected.where("not (src > dst and dst % 6 = 0)")
+        own = lambda c: F.lit(167772161).cast("long") + F.expr(f"{c} div 2") * 256 + F.col(c) % 2 * 128
+        return e.select((F.col("src") * 1000003 + F.col("dst")).alias("id"), own("src").alias("local_ip"), own("dst").alias("remote_ip"), F.array(F.col("src") % 3, F.lit(5).cast("long") + F.col("src") % 2).alias("ike_proposals"), ((F.col("src") + F.col("dst")) % 7 + F.when(F.col("src") % 8 == 1, 1).otherwise(0)).alias("ike_key"), F.array(F.col("src") % 4, F.lit(9).cast("long") + F.col("src") % 3).alias("ipsec_proposals"))
+
     @property
     def route(self) -> DataFrame:
         li = self.table("lineitem")
@@ -73,6 +108,10 @@ CTE = {
     "interface": "SELECT node, num, 167772160 + node // 2 * 256 + node % 2 * 128 + num AS ip, 24 AS plen, (node + num) % 9 <> 0 AS active, num * 1000 AS bandwidth, 10 + num * 5 AS vlan_lo, 10 + num * 5 + node % 3 * 4 AS vlan_hi, num % 3 AS channel, 1500 - node % 3 * 100 AS mtu FROM (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS node, CAST(l_linenumber AS BIGINT) AS num FROM lineitem)",
     "edge": "SELECT *, 1 + src % 7 AS weight FROM (SELECT CAST(s_suppkey AS BIGINT) AS src, (CAST(s_suppkey AS BIGINT) + 1) % (SELECT count(*) FROM supplier) AS dst FROM supplier UNION SELECT CAST(s_suppkey AS BIGINT), (3 * CAST(s_suppkey AS BIGINT) + 1) % (SELECT count(*) FROM supplier) FROM supplier) WHERE src <> dst",
     "undirected": "SELECT src, dst FROM edge UNION SELECT dst, src FROM edge",
+    "peer": "SELECT src * 1000003 + dst AS id, src AS node, CASE WHEN (2 * src + dst) % 7 = 0 THEN 'PASSIVE' WHEN (src + dst) % 6 = 5 THEN 'UNNUMBERED' ELSE 'ACTIVE' END AS kind, CASE WHEN src % 11 = 3 THEN NULL WHEN src % 13 = 5 THEN 1 ELSE 167772161 + src // 2 * 256 + src % 2 * 128 END AS local_ip, CASE WHEN src % 29 = 0 THEN NULL ELSE 65000 + src % 5 END AS local_as, CASE WHEN dst % 19 = 1 THEN NULL WHEN dst % 17 = 2 THEN 3 ELSE 167772161 + dst // 2 * 256 + dst % 2 * 128 END AS remote_ip, CASE WHEN (src + dst) % 23 = 0 THEN NULL ELSE 65000 + dst % 5 + CASE WHEN dst % 9 = 0 THEN 1 ELSE 0 END END AS remote_as, CASE WHEN src % 10 <> 7 THEN 167772160 END AS remote_network, CASE WHEN src % 3 = 0 THEN 8 ELSE 16 END AS remote_plen, 1 AS num, src % 4 = 1 AS multihop, src % 6 = 0 AS reflector_client FROM undirected",
+    "adjacency": "SELECT src AS node, 1 AS num, dst AS remote_node, 1 AS remote_num FROM undirected",
+    "ospf": "SELECT node, num, CASE WHEN node % 13 <> 0 THEN '1' END AS process, area, coalesce(area, 0) <> 3 AS area_valid, (node + num) % 6 = 0 AS passive, node - CASE WHEN node % 10 = 9 THEN 1 ELSE 0 END AS router_id, CASE WHEN area = 1 AND node % 8 <> 1 THEN 'STUB' ELSE 'NONE' END AS stub_type, CASE WHEN num % 3 = 0 THEN NULL WHEN node % 5 = 0 THEN 'POINT_TO_POINT' WHEN num = 5 THEN 'NON_BROADCAST_MULTI_ACCESS' ELSE 'BROADCAST' END AS network_type, ip, plen, 10 + CASE WHEN node % 12 = 0 THEN 5 ELSE 0 END AS hello, 4 * (10 + CASE WHEN node % 12 = 0 THEN 5 ELSE 0 END) + CASE WHEN node % 14 = 0 THEN 1 ELSE 0 END AS dead, [ip + 1, ip + 128, ip - 128] AS nbma_neighbors FROM (SELECT *, CASE WHEN num % 7 = 0 THEN NULL WHEN num % 2 = 0 THEN node % 4 ELSE 0 END AS area FROM interface WHERE active)",
+    "tunnel": "SELECT src * 1000003 + dst AS id, 167772161 + src // 2 * 256 + src % 2 * 128 AS local_ip, 167772161 + dst // 2 * 256 + dst % 2 * 128 AS remote_ip, [src % 3, 5 + src % 2] AS ike_proposals, (src + dst) % 7 + CASE WHEN src % 8 = 1 THEN 1 ELSE 0 END AS ike_key, [src % 4, 9 + src % 3] AS ipsec_proposals FROM undirected WHERE NOT (src > dst AND dst % 6 = 0)",
     "route": "SELECT node, plen, raw // (1::BIGINT << (32 - plen)) * (1::BIGINT << (32 - plen)) AS network, admin, metric, protocol, tag, forwarding, peer FROM (SELECT CAST(l_suppkey AS BIGINT) AS node, CAST(8 + 4 * (l_linenumber % 5) AS INTEGER) AS plen, CAST(l_partkey AS BIGINT) * 65536 % 4294967296 AS raw, CAST(floor(l_quantity) AS BIGINT) AS admin, CAST(floor(l_extendedprice) AS BIGINT) AS metric, l_returnflag AS protocol, CAST(l_orderkey AS BIGINT) AS tag, l_partkey % 13 <> 0 AS forwarding, CAST(l_orderkey % 997 AS BIGINT) AS peer FROM lineitem)",
     "acl": "SELECT acl, line, lo, lo + 200 + line % 5 * 300 AS hi, CASE WHEN line % 3 <> 0 THEN 'PERMIT' ELSE 'DENY' END AS action FROM (SELECT CAST(p_size % 8 AS BIGINT) AS acl, CAST(p_partkey AS BIGINT) AS line, CAST(p_size * 1000 + p_partkey % 17 * 150 AS BIGINT) AS lo FROM part)",
     "flow": "SELECT CAST(event_id AS BIGINT) AS flow, CAST(event_id % (SELECT count(*) FROM supplier) AS BIGINT) AS node, CAST(event_id % 200 * 65536 + user_id % 256 * 256 + event_id % 256 AS BIGINT) AS dst, CAST(event_id % 65536 AS BIGINT) AS port FROM events",
