@@ -1,60 +1,111 @@
-"""Fixpoints by semi-naive rounds: only what the last round learned is joined again; every round is a written table."""
+"""Fixpoints by semi-naive rounds: only what the last round learned is joined again.
+
+A round is one written table, counted as it is written; edges are written once before the first.  What is known is
+the union of the rounds' tables, merged into one where they become many.  Null nodes meet nothing and are dropped with the first join.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import counted, cut
+
+#: Tables of rounds that are read side by side.
+PARTS = 12
+
+
+class Known:
+    """The union of the rounds' tables; merge: what becomes of them when they are made one."""
+
+    def __init__(self, first: DataFrame, merge: Callable[[DataFrame], DataFrame] = lambda df: df):
+        self.parts, self.merge = [first], merge
+
+    def add(self, df: DataFrame) -> None:
+        self.parts.append(df)
+        if len(self.parts) > PARTS:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        return self.merge(reduce(DataFrame.unionByName, self.parts))
 
 
 def reach(start: DataFrame, edges: DataFrame, state: str = "node", keep: list[str] = (), rounds: int = 10_000) -> DataFrame:
-    """(keep..., state, hops): all that start's rows lead to over edges (src, dst, and keep's columns where edges have them)."""
+    """(keep..., state, hops): all that start's rows lead to over edges (src, dst, and keep's columns where edges have them); hops: the fewest."""
     keys = [*keep, state]
     on = [c for c in keep if c in edges.columns]
-    seen = new = cut(start.select(*keys).distinct().withColumn("hops", F.lit(0)))
+    edges = cut(edges.select(*on, "src", "dst").distinct())
+    new = cut(start.select(*keys).distinct().withColumn("hops", F.lit(0)))
+    known = Known(new)
     for k in range(1, rounds + 1):
         step = new.join(edges.withColumnRenamed("src", state), [*on, state]).select(*keep, F.col("dst").alias(state)).distinct()
-        new = cut(step.join(seen, keys, "left_anti").withColumn("hops", F.lit(k)))
-        if new.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(new), seen if k > 1 else None)
+        new, n = counted(step.join(known.all().select(*keys), keys, "left_anti").withColumn("hops", F.lit(k)))
+        if not n:
+            return known.all()
+        known.add(new)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
 def least_cost(start: DataFrame, edges: DataFrame, source: str = "source", most: int | None = None, rounds: int = 10_000) -> DataFrame:
     """(source, node, cost): least cost from start's (source, node) over edges (src, dst, weight); most: paths dearer than it don't exist."""
-    best = new = cut(start.select(source, "node").distinct().withColumn("cost", F.lit(0).cast("long")))
-    for k in range(rounds):
+    low = lambda df: df.groupBy(source, "node").agg(F.min("cost").alias("cost"))
+    edges = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    new = cut(start.select(source, "node").distinct().withColumn("cost", F.lit(0).cast("long")))
+    known = Known(new, low)
+    for _ in range(rounds):
         step = new.join(edges.withColumnRenamed("src", "node"), "node").select(source, F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        if most is not None:
-            step = step.where(F.col("cost") <= most)
-        step = step.groupBy(source, "node").agg(F.min("cost").alias("cost"))
-        old = best.withColumnRenamed("cost", "__old")
-        new = cut(step.join(old, [source, "node"], "left").where("__old is null or cost < __old").select(source, "node", "cost"))
-        if new.isEmpty():
-            return best
-        best = cut(best.unionByName(new).groupBy(source, "node").agg(F.min("cost").alias("cost")), best if k else None)
+        step = low(step.where(F.col("cost") <= most) if most is not None else step)
+        old = known.all().withColumnRenamed("cost", "__old")
+        new, n = counted(step.join(old, [source, "node"], "left").where("__old is null or cost < __old").select(source, "node", "cost"))
+        if not n:
+            return known.all()
+        known.add(new)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
 def path_vector(origins: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Best paths of each (prefix, node): shortest AS path, then the smallest next hop; a path that has the receiver is dropped.
+    """Best paths of each (prefix, node): shortest AS path, then the smallest next hop.
 
-    origins: (prefix, node); edges: (src, dst), routes going from src to dst.  The path lists nodes, the nearest first.
+    origins: (prefix, node); edges: (src, dst), routes going from src to dst.  The path lists nodes, the nearest first.  As a shortest path
+    has no node twice, lengths and next hops decide everything, and paths are put together at the end, by doubling.
     """
-    w = Window.partitionBy("prefix", "node").orderBy(F.size("path"), F.coalesce(F.get("path", F.lit(0)), F.lit(-1)), F.array_join("path", ","))
-    pick = lambda df: df.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-    best = new = cut(origins.select("prefix", "node", F.expr("cast(array() as array<bigint>)").alias("path")).distinct())
-    for k in range(rounds):
-        sent = new.join(edges.withColumnRenamed("src", "node"), "node").where(~F.array_contains("path", F.col("dst")))
-        sent = sent.select("prefix", F.col("dst").alias("node"), F.concat(F.array("node"), "path").alias("path"))
-        got = pick(sent.unionByName(best))
-        got = cut(got, None)
-        new = got.join(best, ["prefix", "node", "path"], "left_anti")
-        if new.isEmpty():
-            return got
-        best, new = got, cut(new)
+    edges = cut(edges.select("src", "dst").distinct())
+    size = cut(reach(origins, edges, keep=["prefix"], rounds=rounds))
+    sent = size.join(edges.withColumnRenamed("src", "node"), "node").select("prefix", F.col("dst").alias("to"), F.col("node").alias("via"), (F.col("hops") + 1).alias("hops"))
+    via = sent.join(size.withColumnRenamed("node", "to"), ["prefix", "to", "hops"]).groupBy("prefix", F.col("to").alias("node")).agg(F.min("via").alias("at"))
+    paths = size.join(via, ["prefix", "node"], "left").select("prefix", "node", F.when(F.col("at").isNull(), F.expr("cast(array() as array<bigint>)")).otherwise(F.array("at")).alias("path"), "at")
+    paths = cut(paths)
+    for _ in range(64):
+        on = paths.select("prefix", F.col("node").alias("at"), F.col("path").alias("more"), F.col("at").alias("next"))
+        paths = cut(paths.join(on, ["prefix", "at"], "left").select("prefix", "node", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.col("next").alias("at")), paths)
+        if paths.where("at is not null").isEmpty():
+            return paths.select("prefix", "node", "path")
+    raise RuntimeError("paths do not end")
+
+
+def can_loop(hops: DataFrame, by: list[str], rounds: int = 100_000) -> DataFrame:
+    """(by..., node): the states from which some walk over hops (by..., src, dst) never ends.
+
+    States whose hops all lead to states that end are taken away, round by round; what is left can go on for ever.
+    """
+    hops = cut(hops.select(*by, "src", "dst").distinct())
+    degree = cut(hops.groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("degree")))
+    new = cut(hops.select(*by, F.col("dst").alias("node")).distinct().join(degree, [*by, "node"], "left_anti"))
+    ended, met = Known(new), None
+    for _ in range(rounds):
+        step, n = counted(hops.join(new.withColumnRenamed("node", "dst"), [*by, "dst"]).groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("n")))
+        if not n:
+            return degree.select(*by, "node").join(ended.all(), [*by, "node"], "left_anti")
+        if met is None:
+            met = Known(step, lambda df: df.groupBy(*by, "node").agg(F.sum("n").alias("n")))
+        else:
+            met.add(step)
+        total = met.all().join(step.select(*by, "node"), [*by, "node"], "left_semi")
+        new = cut(total.join(degree, [*by, "node"]).where("n = degree").select(*by, "node"))
+        ended.add(new)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
@@ -76,14 +127,16 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> Data
 
 
 def frontier_paths(start: DataFrame, hops: DataFrame, by: list[str], most: int = 64) -> DataFrame:
-    """All paths of concrete probes: start (by..., node), hops (by..., src, dst).  Ends where there is no hop, or as a loop where a node comes again.
+    """All paths of concrete probes: start (by..., node), hops (src, dst and those of by that hops depend on).  Ends where there is no hop, or as a loop where a node comes again.
 
     Returns (by..., node, path, disposition) with disposition DONE, LOOP or, after most hops, LIMIT.
     """
+    on = [c for c in by if c in hops.columns]
+    hops = cut(hops.select(*on, "src", "dst").distinct())
     live = cut(start.select(*by, "node", F.array("node").alias("path")))
     out = None
     for _ in range(most):
-        nxt = live.join(hops.withColumnRenamed("src", "node"), [*by, "node"], "left")
+        nxt = live.join(hops.withColumnRenamed("src", "node"), [*on, "node"], "left")
         ended = nxt.where("dst is null").select(*by, "node", "path", F.lit("DONE").alias("disposition"))
         loops = nxt.where("dst is not null").where(F.array_contains("path", F.col("dst"))).select(*by, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.lit("LOOP").alias("disposition"))
         done = cut(ended.unionByName(loops))
@@ -91,4 +144,6 @@ def frontier_paths(start: DataFrame, hops: DataFrame, by: list[str], most: int =
         live = cut(nxt.where("dst is not null").where(~F.array_contains("path", F.col("dst"))).select(*by, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
         if live.isEmpty():
             return out
-    return out.unionByName(live.withColumn("disposition", F.lit("LIMIT")))
+    # a probe whose hops are used up at an end has ended
+    last = live.join(hops.select(*on, F.col("src").alias("node")).distinct().withColumn("__on", F.lit(True)), [*on, "node"], "left")
+    return out.unionByName(last.select(*live.columns, F.when(F.col("__on"), "LIMIT").otherwise("DONE").alias("disposition")))

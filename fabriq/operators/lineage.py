@@ -2,13 +2,25 @@
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, written and read back, and its number of rows, which the write itself counts."""
+    rows = Observation()
+    out = cut(df.observe(rows, F.count(F.lit(1)).alias("n")))
+    return out, rows.get["n"]
 
 
 def cut(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
     """df, written and read back; drop: an earlier result of cut() that nothing needs any more."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
     where = f"{root.rstrip('/')}/fabriq-loop-{uuid.uuid4().hex}"
     df.write.parquet(where)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import fixpoint, prefixes
+from ..operators import traces as paths_of
+from ..operators.lineage import cut
 from ..sources.project import Facts
 from .registry import question
 
@@ -74,78 +76,90 @@ def broadcast_domains(f: Facts):
     return fixpoint.components(f.node.select("node"), link)
 
 
-@question("WITH RECURSIVE r AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT e.dst, r.hops + 1 FROM r JOIN edge e ON e.src = r.node WHERE r.hops < 14) SELECT node, min(hops) AS hops FROM r GROUP BY node")
+SHORTEST = "WITH RECURSIVE r(source, node, cost) USING KEY (source, node) AS (SELECT node, node, 0::BIGINT FROM node UNION SELECT n.source, n.dst, min(n.c) FROM (SELECT r.source, e.dst, r.cost + {weight} AS c FROM r JOIN edge e ON e.src = r.node{most}) n LEFT JOIN recurring.r o ON o.source = n.source AND o.node = n.dst WHERE o.cost IS NULL OR n.c < o.cost GROUP BY n.source, n.dst) "
+
+
+@question(SHORTEST.format(weight=1, most="") + "SELECT source AS start, node, CAST(cost AS INTEGER) AS hops FROM r")
 def reachability_hops(f: Facts):
-    start = f.node.where("node = 0").select("node")
-    return fixpoint.reach(start, f.edge.select("src", "dst"), rounds=60).where("hops <= 14")
+    start = f.node.select(F.col("node").alias("start"), "node")
+    return fixpoint.reach(start, f.edge.select("src", "dst"), keep=["start"])
 
 
-@question("WITH RECURSIVE r AS (SELECT node AS source, node, 0::BIGINT AS cost FROM node WHERE node < 3 UNION SELECT r.source, e.dst, r.cost + e.weight FROM r JOIN edge e ON e.src = r.node WHERE r.cost + e.weight <= 24) SELECT source, node, min(cost) AS cost FROM r GROUP BY source, node")
+@question(SHORTEST.format(weight="e.weight", most="") + "SELECT source, node, cost FROM r")
 def ospf_shortest_paths(f: Facts):
-    start = f.node.where("node < 3").select(F.col("node").alias("source"), "node")
-    return fixpoint.least_cost(start, f.edge, most=24)
+    return fixpoint.least_cost(f.node.select(F.col("node").alias("source"), "node"), f.edge)
 
 
-@question("WITH RECURSIVE r AS (SELECT node AS source, node, 0::BIGINT AS cost FROM node WHERE node IN (1, 5) UNION SELECT r.source, e.dst, r.cost + 1 FROM r JOIN edge e ON e.src = r.node WHERE r.cost < 15) SELECT source, node, min(cost) AS cost FROM r GROUP BY source, node")
+@question(SHORTEST.format(weight=1, most=" WHERE r.cost < 15") + "SELECT source, node, cost FROM r")
 def rip_hop_counts(f: Facts):
-    start = f.node.where("node in (1, 5)").select(F.col("node").alias("source"), "node")
+    """Sixteen hops are infinity in RIP, so there is no path of more than fifteen."""
+    start = f.node.select(F.col("node").alias("source"), "node")
     return fixpoint.least_cost(start, f.edge.withColumn("weight", F.lit(1).cast("long")), most=15)
 
 
-@question("""WITH RECURSIVE r AS (SELECT node AS prefix, node, 0 AS size, -1::BIGINT AS nh, '' AS path FROM node WHERE node IN (2, 7) UNION
- SELECT prefix, node, size, nh, path FROM (SELECT r.prefix, e.dst AS node, r.size + 1 AS size, r.node AS nh, CASE WHEN r.path = '' THEN r.node || '' ELSE r.node || ',' || r.path END AS path,
- row_number() OVER (PARTITION BY r.prefix, e.dst ORDER BY r.node) AS k FROM r JOIN edge e ON e.src = r.node AND NOT list_contains(string_split(r.path, ','), e.dst || '') AND e.dst <> r.prefix WHERE r.size < 12) WHERE k = 1)
- SELECT prefix, node, size, path FROM (SELECT *, row_number() OVER (PARTITION BY prefix, node ORDER BY size, nh, path) AS k FROM r) WHERE k = 1 AND size <= 6""")
+@question(SHORTEST.format(weight=1, most="") + """, via AS (SELECT a.source, a.node, min(e.src) AS nh, a.cost FROM r a JOIN edge e ON e.dst = a.node JOIN r b ON b.source = a.source AND b.node = e.src AND b.cost = a.cost - 1 GROUP BY a.source, a.node, a.cost),
+ p AS (SELECT node AS prefix, node, 0::BIGINT AS size, '' AS path FROM node UNION ALL SELECT v.source, v.node, v.cost, v.nh || CASE WHEN p.path = '' THEN '' ELSE ',' || p.path END FROM p JOIN via v ON v.source = p.prefix AND v.nh = p.node) SELECT prefix, node, CAST(size AS INTEGER) AS size, path FROM p""")
 def bgp_path_vector(f: Facts):
-    origins = f.node.where("node in (2, 7)").select(F.col("node").alias("prefix"), "node")
-    got = fixpoint.path_vector(origins, f.edge.select("src", "dst")).where(F.size("path") <= 6)
+    got = fixpoint.path_vector(f.node.select(F.col("node").alias("prefix"), "node"), f.edge.select("src", "dst"))
     return got.select("prefix", "node", F.size("path").alias("size"), F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
-HOP = "(SELECT DISTINCT e.src, e.dst, d.dest FROM edge e JOIN (SELECT unnest([11, 23, 37]) AS dest) d ON e.src <> d.dest AND e.dst % 50 <> 49 AND (e.src % 3 = d.dest % 3 OR e.dst = (e.src + 1) % (SELECT count(*) FROM supplier)))"
-TRACE = f"WITH RECURSIVE hop AS {HOP}, t AS (SELECT d.dest, n.node AS start, n.node, [n.node] AS path, false AS looped FROM (SELECT unnest([11, 23, 37]) AS dest) d JOIN node n ON n.node < 45 AND n.node > 30 UNION ALL SELECT t.dest, t.start, h.dst, list_append(t.path, h.dst), list_contains(t.path, h.dst) FROM t JOIN hop h ON h.dest = t.dest AND h.src = t.node WHERE NOT t.looped AND len(t.path) <= 8) "
-DONE = "(looped OR len(path) <= 8 AND NOT EXISTS (SELECT 1 FROM hop h WHERE h.dest = t.dest AND h.src = t.node))"
+#: Hops that a trace takes before it is given up, as a probe's time to live.
+TTL = 4
+HOP = "hop AS (SELECT DISTINCT d.node AS dest, e.src, e.dst FROM edge e JOIN node d ON e.src <> d.node AND e.dst % 50 <> 49 AND (e.src % 3 = d.node % 3 OR e.dst = (e.src + 1) % (SELECT count(*) FROM supplier)))"
+TRACE = f"WITH RECURSIVE {HOP}, t AS (SELECT d.node AS dest, n.node AS start, n.node, [n.node] AS path, false AS looped FROM node d, node n UNION ALL SELECT t.dest, t.start, h.dst, list_append(t.path, h.dst), list_contains(t.path, h.dst) FROM t JOIN hop h ON h.dest = t.dest AND h.src = t.node WHERE NOT t.looped AND len(t.path) <= {TTL}), ended AS (SELECT *, EXISTS (SELECT 1 FROM hop h WHERE h.dest = t.dest AND h.src = t.node) AS goes_on FROM t), trace AS (SELECT dest, start, array_to_string(path, '>') AS path, CASE WHEN looped THEN 'LOOP' WHEN node = dest THEN 'ACCEPTED' WHEN goes_on THEN 'TTL_EXPIRED' ELSE 'NO_ROUTE' END AS disposition FROM ended WHERE looped OR NOT goes_on OR len(path) = {TTL + 1}) "
+WALK = f"WITH RECURSIVE {HOP}, r AS (SELECT dest, src AS a, dst AS b FROM hop UNION SELECT r.dest, r.a, h.dst FROM r JOIN hop h ON h.dest = r.dest AND h.src = r.b), looping AS (SELECT DISTINCT r.dest, r.a FROM r JOIN r c ON c.dest = r.dest AND c.a = r.b AND c.b = r.b) "
 
 
 def _hops(f: Facts):
-    n = f.node.agg(F.count("*").alias("n"))
-    e = f.edge.select("src", "dst").crossJoin(F.broadcast(n)).withColumn("dest", F.explode(F.array(*(F.lit(x).cast("long") for x in (11, 23, 37)))))
-    e = e.where("src <> dest and dst % 50 <> 49").where("src % 3 = dest % 3 or dst = (src + 1) % n")
-    return e.select("dest", "src", "dst").distinct()
+    n = f.node.agg(F.count("*").alias("n"))  # one row
+    dest = f.node.select(F.col("node").alias("dest"))  # what a forwarding table has: a next hop for each destination
+    e = f.edge.select("src", "dst").crossJoin(F.broadcast(n)).where("dst % 50 <> 49").crossJoin(dest)
+    return e.where("src <> dest").where("src % 3 = dest % 3 or dst = (src + 1) % n").select("dest", "src", "dst").distinct()
 
 
 def _traces(f: Facts):
-    start = f.node.where("node < 45 and node > 30").select("node", F.col("node").alias("start"), F.explode(F.array(*(F.lit(x).cast("long") for x in (11, 23, 37)))).alias("dest"))
-    hops = _hops(f).join(start.select("dest", "start").distinct(), "dest")
-    return fixpoint.frontier_paths(start.select("dest", "start", "node"), hops.select("dest", "start", "src", "dst"), ["dest", "start"], most=8)
-
-
-@question(TRACE + f"SELECT dest, start, array_to_string(path, '>') AS path, CASE WHEN looped THEN 'LOOP' WHEN node = dest THEN 'ACCEPTED' ELSE 'NO_ROUTE' END AS disposition FROM t WHERE {DONE}")
-def traceroute(f: Facts):
-    got = _traces(f).where("disposition <> 'LIMIT'")
-    disposition = F.when(F.col("disposition") == "LOOP", "LOOP").when(F.col("node") == F.col("dest"), "ACCEPTED").otherwise("NO_ROUTE")
+    start = f.node.select(F.col("node").alias("dest")).crossJoin(f.node.select("node", F.col("node").alias("start")))
+    got = fixpoint.frontier_paths(start.select("dest", "start", "node"), _hops(f), ["dest", "start"], most=TTL)
+    disposition = F.when(F.col("disposition") == "LOOP", "LOOP").when(F.col("node") == F.col("dest"), "ACCEPTED").when(F.col("disposition") == "LIMIT", "TTL_EXPIRED").otherwise("NO_ROUTE")
     return got.select("dest", "start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), disposition.alias("disposition"))
 
 
-@question(TRACE + "SELECT DISTINCT dest, start FROM t WHERE looped")
-def detect_loops(f: Facts):
-    return _traces(f).where("disposition = 'LOOP'").select("dest", "start").distinct()
+@question(TRACE + "SELECT dest, start, path, disposition FROM trace")
+def traceroute(f: Facts):
+    """All paths of probes from every node to every node, of at most TTL hops."""
+    return _traces(f)
 
 
-@question(TRACE + f"SELECT dest, start FROM t WHERE {DONE} GROUP BY dest, start HAVING bool_or(NOT looped AND node = dest) AND bool_or(looped OR node <> dest)")
-def multipath_consistency(f: Facts):
-    got = _traces(f).where("disposition <> 'LIMIT'").withColumn("ok", (F.col("disposition") == "DONE") & (F.col("node") == F.col("dest")))
-    return got.groupBy("dest", "start").agg(F.bool_or("ok").alias("some"), F.bool_and("ok").alias("every")).where("some and not every").select("dest", "start")
+@question(TRACE + "SELECT dest, start, path, disposition, traces FROM (SELECT *, row_number() OVER (PARTITION BY dest, start ORDER BY path) AS k, count(*) OVER (PARTITION BY dest, start) AS traces FROM trace) WHERE k <= 3")
+def traceroute_pruned(f: Facts):
+    """Three traces of each probe, as asked, and how many there are."""
+    return paths_of.pruned(_traces(f), ["dest", "start"], "path", 3)
 
 
-REACH = "WITH RECURSIVE ok AS (SELECT src, dst FROM edge{cut}), r AS (SELECT node AS start, node FROM node WHERE node % 10 = 0 UNION SELECT r.start, e.dst FROM r JOIN {edge} e ON e.src = r.node) "
+@question(WALK + "SELECT dest, a AS start FROM looping")
+def detect_loops(f: Facts):
+    return fixpoint.can_loop(_hops(f), ["dest"]).select("dest", F.col("node").alias("start"))
 
 
-@question("""WITH RECURSIVE a AS (SELECT node AS start, node FROM node WHERE node % 10 = 0 UNION SELECT a.start, e.dst FROM a JOIN edge e ON e.src = a.node AND e.dst % 7 <> 3),
- b AS (SELECT node AS start, node FROM node WHERE node % 10 = 0 UNION SELECT b.start, e.dst FROM b JOIN edge e ON e.src = b.node AND e.dst % 7 <> 3 AND e.dst % 5 <> 1)
+@question(WALK + """, every AS (SELECT dest, a, b FROM r UNION SELECT d.node, n.node, n.node FROM node d, node n), fate AS (SELECT e.dest, e.a, bool_or(e.b = e.dest) AS ok, bool_or(e.b <> e.dest AND NOT EXISTS (SELECT 1 FROM hop h WHERE h.dest = e.dest AND h.src = e.b)) AS bad FROM every e GROUP BY e.dest, e.a)
+ SELECT f.dest, f.a AS start FROM fate f LEFT JOIN looping l ON l.dest = f.dest AND l.a = f.a WHERE ok AND (bad OR l.a IS NOT NULL)""")
+def multipath_consistency(f: Facts):
+    """Probes that are accepted on some of their paths and lost or looping on others, by what each state can come to."""
+    hops = cut(_hops(f))
+    back = hops.select("dest", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    every = f.node.select(F.col("node").alias("dest")).crossJoin(f.node.select("node"))
+    ends = every.join(hops.select("dest", F.col("src").alias("node")).distinct(), ["dest", "node"], "left_anti")
+    to = lambda goal: fixpoint.reach(goal, back, keep=["dest"]).select("dest", "node")
+    lost = to(ends.where("node <> dest")).union(fixpoint.can_loop(hops, ["dest"])).distinct()
+    return to(ends.where("node = dest")).join(lost, ["dest", "node"]).select("dest", F.col("node").alias("start"))
+
+
+@question("""WITH RECURSIVE a AS (SELECT node AS start, node FROM node UNION SELECT a.start, e.dst FROM a JOIN edge e ON e.src = a.node AND e.dst % 7 <> 3),
+ b AS (SELECT node AS start, node FROM node UNION SELECT b.start, e.dst FROM b JOIN edge e ON e.src = b.node AND e.dst % 7 <> 3 AND e.dst % 5 <> 1)
  SELECT start, node, 'decreased' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT start, node, 'increased' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def differential_reachability(f: Facts):
-    start = f.node.where("node % 10 = 0").select(F.col("node").alias("start"), "node")
+    start = f.node.select(F.col("node").alias("start"), "node")
     e = f.edge.select("src", "dst").where("dst % 7 <> 3")
     a = fixpoint.reach(start, e, keep=["start"]).select("start", "node")
     b = fixpoint.reach(start, e.where("dst % 5 <> 1"), keep=["start"]).select("start", "node")
@@ -153,25 +167,29 @@ def differential_reachability(f: Facts):
     return gone.unionByName(b.join(a, ["start", "node"], "left_anti").withColumn("change", F.lit("increased")))
 
 
-@question("""WITH RECURSIVE e2 AS (SELECT src, dst FROM edge WHERE dst % 7 <> 3), a AS (SELECT node AS start, node FROM node WHERE node % 25 = 0 UNION SELECT a.start, e.dst FROM a JOIN e2 e ON e.src = a.node),
- b AS (SELECT node AS goal, node FROM node WHERE node % 25 = 0 UNION SELECT b.goal, e.src FROM b JOIN e2 e ON e.dst = b.node) SELECT a.start, a.node FROM a JOIN b ON b.goal = a.start AND b.node = a.node""")
+@question("""WITH RECURSIVE e2 AS (SELECT src, dst FROM edge WHERE dst % 7 <> 3), a AS (SELECT node AS start, node FROM node UNION SELECT a.start, e.dst FROM a JOIN e2 e ON e.src = a.node),
+ b AS (SELECT node AS goal, node FROM node UNION SELECT b.goal, e.src FROM b JOIN e2 e ON e.dst = b.node) SELECT a.start, a.node FROM a JOIN b ON b.goal = a.start AND b.node = a.node""")
 def bidirectional_reachability(f: Facts):
-    start = f.node.where("node % 25 = 0").select(F.col("node").alias("start"), "node")
+    start = f.node.select(F.col("node").alias("start"), "node")
     e = f.edge.select("src", "dst").where("dst % 7 <> 3")
     there = fixpoint.reach(start, e, keep=["start"]).select("start", "node")
     back = fixpoint.reach(start, e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), keep=["start"]).select("start", "node")
     return there.join(back, ["start", "node"])
 
 
-@question("""SELECT f.flow, f.node, f.dst, CASE WHEN bool_or(i.node = f.node) THEN 'ACCEPTED' WHEN count(r.node) = 0 THEN 'NO_ROUTE' WHEN bool_or(r.protocol = 'R') THEN 'NULL_ROUTED' WHEN count(i.node) > 0 THEN 'DELIVERED_TO_SUBNET' ELSE 'EXITS_NETWORK' END AS disposition
- FROM (SELECT * FROM flow WHERE flow % 4 = 1) f LEFT JOIN (SELECT DISTINCT node, network, plen, protocol FROM route) r ON r.node = f.node AND r.plen = 8 AND f.dst // 16777216 * 16777216 = r.network LEFT JOIN (SELECT DISTINCT node, ip % 65536 AS ip FROM interface) i ON i.ip = f.dst % 65536 GROUP BY f.flow, f.node, f.dst""")
+@question("""WITH lpm AS (SELECT flow, max(plen) AS top FROM flow f JOIN route r ON f.node = r.node AND f.dst >= r.network AND f.dst < r.network + (1::BIGINT << (32 - r.plen)) WHERE r.forwarding GROUP BY flow),
+ hit AS (SELECT f.flow, bool_or(r.protocol = 'R') AS null_routed FROM lpm JOIN flow f USING (flow) JOIN route r ON f.node = r.node AND r.plen = lpm.top AND f.dst >= r.network AND f.dst < r.network + (1::BIGINT << (32 - r.plen)) WHERE r.forwarding GROUP BY f.flow),
+ o AS (SELECT DISTINCT node, ip % 65536 AS ip FROM interface)
+ SELECT f.flow, f.node, f.dst, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.node = f.node AND o.ip = f.dst % 65536) THEN 'ACCEPTED' WHEN h.flow IS NULL THEN 'NO_ROUTE' WHEN h.null_routed THEN 'NULL_ROUTED' WHEN EXISTS (SELECT 1 FROM o WHERE o.ip = f.dst % 65536) THEN 'DELIVERED_TO_SUBNET' ELSE 'EXITS_NETWORK' END AS disposition
+ FROM flow f LEFT JOIN hit h USING (flow)""")
 def flow_dispositions(f: Facts):
-    flows = f.flow.where("flow % 4 = 1").select("flow", "node", "dst")
+    flows = f.flow.select("flow", "node", "dst")
     owners = f.interface.select("node", (F.col("ip") % 65536).alias("low")).distinct()
     low = flows.withColumn("low", F.col("dst") % 65536)
     owned = low.join(owners.select("low").distinct().withColumn("owned", F.lit(True)), "low", "left").join(owners.withColumn("mine", F.lit(True)), ["node", "low"], "left")
     null = F.max((F.col("protocol") == "R").cast("int")).alias("null")
-    routed = prefixes.longest_prefix_match(flows.select("node", "dst").distinct(), f.route.where("plen = 8").select("node", "network", "plen", "protocol").distinct(), ["node"], "dst").groupBy("node", "dst").agg(null)
+    routes = f.route.select("node", "network", "plen", "protocol", "forwarding").distinct()
+    routed = prefixes.longest_prefix_match(flows.select("node", "dst").distinct(), routes, ["node"], "dst").groupBy("node", "dst").agg(null)
     got = owned.join(routed, ["node", "dst"], "left")
     d = F.when(F.col("mine"), "ACCEPTED").when(F.col("null").isNull(), "NO_ROUTE").when(F.col("null") == 1, "NULL_ROUTED").when(F.col("owned"), "DELIVERED_TO_SUBNET").otherwise("EXITS_NETWORK")
     return got.select("flow", "node", "dst", d.alias("disposition"))

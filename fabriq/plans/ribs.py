@@ -51,9 +51,7 @@ BGP = "tag % 3 DESC, admin DESC, plen % 3, protocol, peer % 2, metric % 100, pee
 @question("SELECT node, network, plen, protocol, admin, metric, tag FROM (SELECT *, row_number() OVER (PARTITION BY node, network, plen ORDER BY " + BGP + ") AS k FROM route) WHERE k = 1")
 def bgp_best_path(f: Facts):
     """Weight, local preference, path length, origin, external first, MED, then a total order by peer and originator."""
-    order = [F.desc(F.expr("tag % 3")), F.desc("admin"), F.expr("plen % 3"), F.asc("protocol"), F.expr("peer % 2"), F.expr("metric % 100"), F.asc("peer"), F.asc("tag"), F.asc("metric")]
     struct = F.struct(*(F.expr(e) for e in ("-(tag % 3)", "-admin", "plen % 3", "protocol", "peer % 2", "metric % 100", "peer", "tag", "metric")))
-    del order
     # one least row per prefix by a pre-aggregated minimum rather than a sorted window
     return f.route.groupBy(*KEY).agg(F.min(F.struct(struct.alias("o"), "protocol", "admin", "metric", "tag")).alias("b")).select(*KEY, "b.protocol", "b.admin", "b.metric", "b.tag")
 
@@ -86,9 +84,9 @@ def route_summary(f: Facts):
 
 
 # Static routes: every flow's destination as a next hop that must resolve over something other than itself.
-@question("""SELECT f.flow AS id, f.node, max(r.plen) AS resolved_plen FROM flow f JOIN route r ON r.node = f.node AND r.forwarding AND f.dst >= r.network AND f.dst < r.network + (1::BIGINT << (32 - r.plen)) AND r.plen > f.port % 20 WHERE f.flow % 5 = 0 GROUP BY f.flow, f.node""")
+@question("""SELECT f.flow AS id, f.node, max(r.plen) AS resolved_plen FROM flow f JOIN route r ON r.node = f.node AND r.forwarding AND f.dst >= r.network AND f.dst < r.network + (1::BIGINT << (32 - r.plen)) AND r.plen > f.port % 20 GROUP BY f.flow, f.node""")
 def static_activation(f: Facts):
-    statics = f.flow.where("flow % 5 = 0").select(F.col("flow").alias("id"), "node", "dst", (F.col("port") % 20).alias("own_plen"))
+    statics = f.flow.select(F.col("flow").alias("id"), "node", "dst", (F.col("port") % 20).alias("own_plen"))
     hit = prefixes.longest_prefix_match(statics, f.route.select("node", "network", "plen", "forwarding").distinct(), ["node"], "dst")
     return hit.where("plen > own_plen").select("id", "node", F.col("plen").alias("resolved_plen")).distinct()
 
@@ -126,10 +124,10 @@ def vrf_leaking(f: Facts):
     return base.union(leak).distinct()
 
 
-@question("SELECT node, network, plen, tag, rib FROM (SELECT *, unnest(CASE WHEN protocol = 'A' THEN ['main', 'multicast'] ELSE ['main'] END) AS rib FROM route WHERE tag % 10 = 3)")
+@question("SELECT node, network, plen, tag, rib FROM (SELECT *, unnest(CASE WHEN protocol = 'A' THEN ['main', 'multicast'] ELSE ['main'] END) AS rib FROM route)")
 def rib_groups(f: Facts):
     ribs = F.when(F.col("protocol") == "A", F.array(F.lit("main"), F.lit("multicast"))).otherwise(F.array(F.lit("main")))
-    return f.route.where("tag % 10 = 3").select("node", "network", "plen", "tag", F.explode(ribs).alias("rib"))
+    return f.route.select("node", "network", "plen", "tag", F.explode(ribs).alias("rib"))
 
 
 # Paths and policies
@@ -145,12 +143,12 @@ def as_path_functions(f: Facts):
     return r.select("node", "tag", "network", F.size("path").alias("size"), text(fip.without_private_as(F.col("path"))).alias("public"), text(fip.prepend(F.col("path"), F.col("node") + 1)).alias("prepended"), F.array_contains("path", F.lit(65001).cast("long")).alias("has_65001"))
 
 
-@question("SELECT node, network, tag, array_to_string(list_sort(list_distinct(list_concat(list_filter([65000::BIGINT * 65536 + tag % 9, 65001::BIGINT * 65536 + tag % 4], lambda c: c % 65536 <> 3), [777]))), ' ') AS communities FROM route WHERE tag % 6 = 1")
+@question("SELECT node, network, tag, array_to_string(list_sort(list_distinct(list_concat(list_filter([65000::BIGINT * 65536 + tag % 9, 65001::BIGINT * 65536 + tag % 4], lambda c: c % 65536 <> 3), [777]))), ' ') AS communities FROM route")
 def community_algebra(f: Facts):
     own = F.array((F.lit(65000 * 65536).cast("long") + F.col("tag") % 9), (F.lit(65001 * 65536).cast("long") + F.col("tag") % 4))
     kept = F.filter(own, lambda c: c % 65536 != 3)
     out = F.array_sort(F.array_union(kept, F.array(F.lit(777).cast("long"))))
-    return f.route.where("tag % 6 = 1").select("node", "network", "tag", F.array_join(F.transform(out, lambda c: c.cast("string")), " ").alias("communities"))
+    return f.route.select("node", "network", "tag", F.array_join(F.transform(out, lambda c: c.cast("string")), " ").alias("communities"))
 
 
 @question("""SELECT node, network, plen, tag, CASE WHEN plen > 20 THEN 'DENY' WHEN protocol = 'R' THEN 'PERMIT' WHEN tag % 3 = 0 THEN 'DENY' ELSE 'PERMIT' END AS action,
