@@ -85,6 +85,26 @@ class Facts:
         p = self.table("part").select((F.col("p_size") % 8).cast("long").alias("acl"), F.col("p_partkey").cast("long").alias("line"), (F.col("p_size") * 1000 + F.col("p_partkey") % 17 * 150).cast("long").alias("lo"))
         return p.select("acl", "line", "lo", (F.col("lo") + 200 + F.col("line") % 5 * 300).alias("hi"), F.when(F.col("line") % 3 != 0, "PERMIT").otherwise("DENY").alias("action"))
 
+    @property
+    def rule(self) -> DataFrame:
+        """Filters of about sixteen lines over destination, port and protocol; some lines call the filter after the next."""
+        p = self.table("part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_size").cast("long").alias("s"))
+        plen = F.when(F.col("k") % 7 == 0, 0).when(F.col("k") % 3 == 0, 16).otherwise(24).cast("int")
+        net = F.when(plen == 0, 0).when(plen == 16, (F.col("s") % 4) * 65536).otherwise((F.col("s") % 4) * 65536 + (F.col("k") % 5) * 256).cast("long")
+        size = F.when(plen == 0, 4294967296).when(plen == 16, 65536).otherwise(256)
+        lo = (F.col("s") % 10) * 5000
+        proto = F.when(F.col("k") % 4 == 0, 0).when(F.col("k") % 4 == 1, 17).otherwise(6)
+        calls = (F.col("k") % 16 == 9) & (F.expr("k div 16") % 3 == 0)
+        return p.select(F.expr("k div 16").alias("acl"), (F.col("k") % 16).alias("line"), F.when(F.col("k") % 3 != 1, "PERMIT").otherwise("DENY").alias("action"), net.alias("dst_network"), plen.alias("dst_plen"), net.alias("dst_lo"), (net + size - 1).alias("dst_hi"), lo.alias("port_lo"), (lo + 5000 * (1 + F.col("k") % 6) - F.when(F.col("k") % 50 == 13, 40000).otherwise(1)).alias("port_hi"), proto.cast("long").alias("proto_lo"), F.when(proto == 0, 255).otherwise(proto).cast("long").alias("proto_hi"), F.when(calls, F.expr("k div 16") + 2).alias("callee"))
+
+    @property
+    def header(self) -> DataFrame:
+        """Flows with all their fields, each asked of one filter."""
+        n = self.table("part").agg((F.max("p_partkey") + 15).alias("top"))  # one row
+        e = self.table("events").crossJoin(F.broadcast(n))
+        i = F.col("event_id")
+        return e.select(i.cast("long").alias("flow"), (i % F.expr("top div 16")).cast("long").alias("acl"), ((i % 4) * 65536 + (F.col("user_id") % 5) * 256 + i % 256).cast("long").alias("dst"), (F.lit(167772160) + F.col("user_id") % 1000).cast("long").alias("src"), (i * 7919 % 65536).cast("long").alias("port"), F.when(i % 3 == 0, 17).when(i % 11 == 0, 1).otherwise(6).cast("long").alias("proto"), (i % 256).cast("long").alias("tcp_flags"))
+
     @property
     def flow(self) -> DataFrame:
         e = self.table("events")
@@ -114,6 +134,8 @@ CTE = {
     "tunnel": "SELECT src * 1000003 + dst AS id, 167772161 + src // 2 * 256 + src % 2 * 128 AS local_ip, 167772161 + dst // 2 * 256 + dst % 2 * 128 AS remote_ip, [src % 3, 5 + src % 2] AS ike_proposals, (src + dst) % 7 + CASE WHEN src % 8 = 1 THEN 1 ELSE 0 END AS ike_key, [src % 4, 9 + src % 3] AS ipsec_proposals FROM undirected WHERE NOT (src > dst AND dst % 6 = 0)",
     "route": "SELECT node, plen, raw // (1::BIGINT << (32 - plen)) * (1::BIGINT << (32 - plen)) AS network, admin, metric, protocol, tag, forwarding, peer FROM (SELECT CAST(l_suppkey AS BIGINT) AS node, CAST(8 + 4 * (l_linenumber % 5) AS INTEGER) AS plen, CAST(l_partkey AS BIGINT) * 65536 % 4294967296 AS raw, CAST(floor(l_quantity) AS BIGINT) AS admin, CAST(floor(l_extendedprice) AS BIGINT) AS metric, l_returnflag AS protocol, CAST(l_orderkey AS BIGINT) AS tag, l_partkey % 13 <> 0 AS forwarding, CAST(l_orderkey % 997 AS BIGINT) AS peer FROM lineitem)",
     "acl": "SELECT acl, line, lo, lo + 200 + line % 5 * 300 AS hi, CASE WHEN line % 3 <> 0 THEN 'PERMIT' ELSE 'DENY' END AS action FROM (SELECT CAST(p_size % 8 AS BIGINT) AS acl, CAST(p_partkey AS BIGINT) AS line, CAST(p_size * 1000 + p_partkey % 17 * 150 AS BIGINT) AS lo FROM part)",
+    "rule": "SELECT k // 16 AS acl, k % 16 AS line, CASE WHEN k % 3 <> 1 THEN 'PERMIT' ELSE 'DENY' END AS action, net AS dst_network, plen AS dst_plen, net AS dst_lo, net + CASE plen WHEN 0 THEN 4294967296 WHEN 16 THEN 65536 ELSE 256 END - 1 AS dst_hi, lo AS port_lo, lo + 5000 * (1 + k % 6) - CASE WHEN k % 50 = 13 THEN 40000 ELSE 1 END AS port_hi, proto AS proto_lo, CASE WHEN proto = 0 THEN 255 ELSE proto END AS proto_hi, CASE WHEN k % 16 = 9 AND k // 16 % 3 = 0 THEN k // 16 + 2 END AS callee FROM (SELECT *, CASE plen WHEN 0 THEN 0 WHEN 16 THEN s % 4 * 65536 ELSE s % 4 * 65536 + k % 5 * 256 END AS net, s % 10 * 5000 AS lo, CASE WHEN k % 4 = 0 THEN 0 WHEN k % 4 = 1 THEN 17 ELSE 6 END AS proto FROM (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) AS s, CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 16 ELSE 24 END AS plen FROM part))",
+    "header": "SELECT CAST(event_id AS BIGINT) AS flow, CAST(event_id % (SELECT (max(p_partkey) + 15) // 16 FROM part) AS BIGINT) AS acl, CAST(event_id % 4 * 65536 + user_id % 5 * 256 + event_id % 256 AS BIGINT) AS dst, 167772160 + user_id % 1000 AS src, CAST(event_id AS BIGINT) * 7919 % 65536 AS port, CASE WHEN event_id % 3 = 0 THEN 17 WHEN event_id % 11 = 0 THEN 1 ELSE 6 END AS proto, event_id % 256 AS tcp_flags FROM events",
     "flow": "SELECT CAST(event_id AS BIGINT) AS flow, CAST(event_id % (SELECT count(*) FROM supplier) AS BIGINT) AS node, CAST(event_id % 200 * 65536 + user_id % 256 * 256 + event_id % 256 AS BIGINT) AS dst, CAST(event_id % 65536 AS BIGINT) AS port FROM events",
     "snapshot": "SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus AS status, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders",
     "reference": "SELECT id, status, price + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS price FROM snapshot WHERE id % 10 <> 0 UNION ALL SELECT -id, status, price + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END FROM snapshot WHERE id % 10 <> 0 AND id % 50 = 1",
