@@ -1,9 +1,10 @@
 """Questions on tables, addresses, filters and structures."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ip as fip
-from ..operators import intervals, prefixes, tables
+from ..operators import answers, intervals, prefixes, tables
 from ..sources.project import Facts
 from .registry import question
 
@@ -44,13 +45,13 @@ def answer_exclusions(f: Facts):
     return tables.exclusions(f.snapshot, [("dear", F.col("price") > 200000), ("open", F.col("status") == "O")]).select("id", "price", "exclusion")
 
 
-@question("SELECT count(*) AS num_rows, count(CASE WHEN price > 200000 THEN 1 END) AS num_excluded, 'nothing' AS empty_columns, max(price) AS max_price, max(id) AS max_id FROM snapshot")
+@question("SELECT count(*) AS num_rows, count(CASE WHEN price > 200000 THEN 1 END) AS num_excluded, array_to_string(list_filter([CASE WHEN count(id) = 0 THEN 'id' END, CASE WHEN count(nothing) = 0 THEN 'nothing' END, CASE WHEN count(price) = 0 THEN 'price' END, CASE WHEN count(status) = 0 THEN 'status' END], lambda c: c IS NOT NULL), ',') AS empty_columns, max(price) AS max_price, max(id) AS max_id FROM (SELECT *, NULL AS nothing FROM snapshot)")
 def answer_metrics(f: Facts):
     s = tables.exclusions(f.snapshot.withColumn("nothing", F.lit(None).cast("string")), [("dear", F.col("price") > 200000)])
     return tables.metrics(s, ["price", "id"], "exclusion")
 
 
-@question("SELECT false AS equal")
+@question("SELECT NOT EXISTS ((SELECT * FROM snapshot EXCEPT ALL SELECT * FROM reference) UNION ALL (SELECT * FROM reference EXCEPT ALL SELECT * FROM snapshot)) AS equal")
 def assertion_equals(f: Facts):
     return tables.multiset_equal(f.snapshot, f.reference)
 
@@ -109,16 +110,16 @@ NETS = "(SELECT DISTINCT node, network, plen FROM route)"
 WITHIN = "i.network >= o.network AND i.network < o.network + (1::BIGINT << (32 - o.plen)) AND o.plen <= i.plen"
 
 
-@question(f"SELECT i.node, i.network, i.plen, o.network AS o_network, o.plen AS o_plen FROM {NETS} i JOIN {NETS} o ON i.node = o.node AND {WITHIN} WHERE o.plen IN (8, 12)")
+@question(f"SELECT i.node, i.network, i.plen, o.network AS o_network, o.plen AS o_plen FROM {NETS} i JOIN {NETS} o ON i.node = o.node AND {WITHIN}")
 def prefix_longer(f: Facts):
     nets = f.route.select("node", "network", "plen").distinct()
-    return prefixes.contained(nets, nets.where("plen in (8, 12)"), ["node"]).select("node", "network", "plen", "o_network", "o_plen")
+    return prefixes.contained(nets, nets, ["node"]).select("node", "network", "plen", "o_network", "o_plen")
 
 
-@question(f"SELECT o.node, o.network, o.plen, i.network AS o_network, i.plen AS o_plen FROM {NETS} i JOIN {NETS} o ON i.node = o.node AND {WITHIN} WHERE i.plen = 24")
+@question(f"SELECT o.node, o.network, o.plen, i.network AS o_network, i.plen AS o_plen FROM {NETS} i JOIN {NETS} o ON i.node = o.node AND {WITHIN}")
 def prefix_shorter(f: Facts):
     nets = f.route.select("node", "network", "plen").distinct()
-    return prefixes.contained(nets, nets.where("plen = 24"), ["node"], "SHORTER_PREFIXES").select("node", "network", "plen", "o_network", "o_plen")
+    return prefixes.contained(nets, nets, ["node"], "SHORTER_PREFIXES").select("node", "network", "plen", "o_network", "o_plen")
 
 
 @question(f"SELECT i.node, i.network, i.plen FROM {NETS} i JOIN {NETS} o ON i.network = o.network AND i.plen = o.plen AND o.node = i.node + 1")
@@ -128,16 +129,18 @@ def prefix_exact(f: Facts):
     return prefixes.contained(nets, other, ["node"], "EXACT").select("node", "network", "plen")
 
 
-@question("SELECT ip, node, num, active, count(*) OVER (PARTITION BY ip) > 1 AS duplicated FROM interface")
+@question("SELECT a.ip, a.node, a.num, a.active, n > 1 AS duplicated FROM address a JOIN (SELECT ip, count(DISTINCT node) AS n FROM address GROUP BY ip) USING (ip)")
 def ip_owners(f: Facts):
-    n = f.interface.groupBy("ip").agg(F.count_distinct("node", "num").alias("n"))
-    return f.interface.join(n, "ip").select("ip", "node", "num", "active", (F.col("n") > 1).alias("duplicated"))
+    """An address is duplicated where several nodes own it; several interfaces of one node are no duplicate."""
+    n = f.address.groupBy("ip").agg(F.count_distinct("node").alias("n"))
+    return f.address.join(n, "ip").select("ip", "node", "num", "active", (F.col("n") > 1).alias("duplicated"))
 
 
-@question("SELECT ip % 128 AS host, count(*) AS owners, string_agg(node || ':' || num, ',' ORDER BY node, num) AS places FROM interface WHERE node < 20 GROUP BY 1 HAVING count(*) > 1")
+@question("SELECT ip, count(*) AS owners, string_agg(node || ':' || num, ',' ORDER BY node, num) AS places FROM address WHERE active GROUP BY ip HAVING count(DISTINCT (node, num)) > 1")
 def unique_ip_assignments(f: Facts):
-    got = f.interface.where("node < 20").groupBy((F.col("ip") % 128).alias("host")).agg(F.count("*").alias("owners"), F.array_sort(F.collect_set(F.struct("node", "num"))).alias("p")).where("owners > 1")
-    return got.select("host", "owners", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["node"].cast("string"), x["num"].cast("string"))), ",").alias("places"))
+    """Addresses that are not assigned once only, with the interfaces that have them."""
+    got = f.address.where("active").groupBy("ip").agg(F.count("*").alias("owners"), F.array_sort(F.collect_set(F.struct("node", "num"))).alias("p")).where("size(p) > 1")
+    return got.select("ip", "owners", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["node"].cast("string"), x["num"].cast("string"))), ",").alias("places"))
 
 
 # Integer and address spaces
@@ -236,10 +239,14 @@ def search_filters(f: Facts):
     return own.where("action = 'PERMIT' and hi >= 15000").groupBy("acl").agg(F.min(F.greatest("lo", F.lit(15000).cast("long"))).alias("witness"))
 
 
-@question("SELECT string_agg(DISTINCT acl, ',' ORDER BY acl) AS sources, lines, bits FROM (SELECT acl, count(*) AS lines, CAST(sum(hi - lo) AS BIGINT) AS bits FROM acl GROUP BY acl) GROUP BY lines, bits")
+@question("SELECT min(acl) AS representative, count(*) AS filters, min(n) AS lines FROM (SELECT acl, count(*) AS n, string_agg(k || '/' || action || '/' || dst_lo || '/' || dst_hi || '/' || port_lo || '/' || port_hi || '/' || proto_lo || '/' || proto_hi || '/' || coalesce(callee, -1), ';' ORDER BY k) AS body FROM (SELECT *, row_number() OVER (PARTITION BY acl ORDER BY line) AS k FROM rule) GROUP BY acl) GROUP BY body")
 def filter_deduplication(f: Facts):
-    shape = f.acl.groupBy("acl").agg(F.count("*").alias("lines"), F.sum(F.col("hi") - F.col("lo")).alias("bits"))
-    return shape.groupBy("lines", "bits").agg(F.array_join(F.array_sort(F.collect_set(F.col("acl").cast("string"))), ",").alias("sources"))
+    """Filters of equal ordered lines, whatever the lines' numbers; a filter is one hash, summed over its lines with their ranks."""
+    w = Window.partitionBy("acl").orderBy("line")
+    lines = f.rule.withColumn("k", F.row_number().over(w))
+    parts = [F.xxhash64(F.lit(seed), "k", "action", "dst_lo", "dst_hi", "port_lo", "port_hi", "proto_lo", "proto_hi", F.coalesce("callee", F.lit(-1).cast("long"))).cast("decimal(38,0)") for seed in (1, 2)]
+    body = lines.groupBy("acl").agg(F.count("*").alias("lines"), F.sum(parts[0]).alias("a"), F.sum(parts[1]).alias("b"))
+    return body.groupBy("lines", "a", "b").agg(F.min("acl").alias("representative"), F.count("*").alias("filters")).select("representative", "filters", "lines")
 
 
 # Structures and roles
@@ -275,21 +282,28 @@ def node_roles(f: Facts):
     return f.node.select("hostname", F.regexp_extract("hostname", r"^([a-z]+)\d*$", 1).alias("kind"), region.alias("region"))
 
 
-@question("SELECT DISTINCT CAST(doc_id AS BIGINT) AS id FROM documents ANTI JOIN (SELECT doc_id FROM labels) USING (doc_id)")
+@question("SELECT name, kind, lines FROM structure WHERE NOT EXISTS (SELECT 1 FROM reference_to r WHERE r.name = structure.name AND r.kind = structure.kind)")
 def unused_structures(f: Facts):
-    return f.table("documents").select(F.col("doc_id").cast("long").alias("id")).join(f.table("labels").select(F.col("doc_id").alias("id")), "id", "left_anti").distinct()
+    """Defined structures that nothing refers to, under their name and kind."""
+    return f.structure.join(f.reference_to.select("name", "kind").distinct(), ["name", "kind"], "left_anti").select("name", "kind", "lines")
 
 
-@question("SELECT DISTINCT CAST(l_suppkey * 2 AS BIGINT) AS name, CAST(l_suppkey AS BIGINT) AS used_by FROM lineitem WHERE l_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)")
+@question("SELECT r.name, r.kind, r.context, count(*) AS uses, min(r.line) AS first_line FROM reference_to r GROUP BY ALL")
+def referenced_structures(f: Facts):
+    return f.reference_to.groupBy("name", "kind", "context").agg(F.count("*").alias("uses"), F.min("line").alias("first_line"))
+
+
+@question("SELECT name, kind, context, min(line) AS first_line, count(*) AS uses FROM reference_to r WHERE NOT EXISTS (SELECT 1 FROM structure s WHERE s.name = r.name AND s.kind = r.kind) GROUP BY ALL")
 def undefined_references(f: Facts):
-    used = f.table("lineitem").select((F.col("l_suppkey") * 2).cast("long").alias("name"), F.col("l_suppkey").cast("long").alias("used_by")).distinct()
-    return used.join(f.node.select(F.col("node").alias("name")), "name", "left_anti").select("name", "used_by")
+    """References to structures that are not defined under that name and kind."""
+    got = f.reference_to.join(f.structure.select("name", "kind"), ["name", "kind"], "left_anti")
+    return got.groupBy("name", "kind", "context").agg(F.min("line").alias("first_line"), F.count("*").alias("uses"))
 
 
-@question("SELECT acl AS name, node, count(line) > 0 AS present FROM (SELECT DISTINCT acl FROM acl) a CROSS JOIN (SELECT node FROM node WHERE node < 40) n LEFT JOIN (SELECT acl AS l_acl, line FROM acl) l ON l_acl = a.acl AND line % 50 = node GROUP BY acl, node")
+@question("SELECT acl AS name, node, count(line) > 0 AS present FROM (SELECT DISTINCT acl FROM acl) a CROSS JOIN (SELECT node FROM node) n LEFT JOIN (SELECT acl AS l_acl, line FROM acl) l ON l_acl = a.acl AND line % 50 = node GROUP BY acl, node")
 def named_structures(f: Facts):
     names = f.acl.select("acl").distinct()  # few names by many nodes: the matrix is the answer
-    every = f.node.where("node < 40").select("node").crossJoin(F.broadcast(names))
+    every = f.node.select("node").crossJoin(F.broadcast(names))
     held = f.acl.select("acl", (F.col("line") % 50).alias("node")).distinct().withColumn("present", F.lit(True))
     return every.join(held, ["acl", "node"], "left").select(F.col("acl").alias("name"), "node", F.coalesce("present", F.lit(False)).alias("present"))
 
@@ -307,10 +321,10 @@ def channel_bandwidth(f: Facts):
     return f.interface.groupBy("node", "channel").agg(F.coalesce(F.sum(live), F.lit(0)).alias("aggregate"), F.max(live).alias("redundant"), F.bool_or("active").alias("up"))
 
 
-@question("SELECT ip // 256 AS subnet, arg_max(node, (100 - node % 50 - CASE WHEN active THEN 0 ELSE 60 END) * 1000000 + ip) AS winner FROM interface WHERE num = 1 GROUP BY 1")
+@question("SELECT ip // 256 AS subnet, arg_max(node, (100 - node % 50 - CASE WHEN active THEN 0 ELSE 60 END) * 1000000000000 + ip) AS winner, num AS vrid FROM interface GROUP BY ip // 256, num")
 def virtual_router_winner(f: Facts):
     prio = 100 - F.col("node") % 50 - F.when(F.col("active"), 0).otherwise(60)
-    return f.interface.where("num = 1").groupBy(F.expr("ip div 256").alias("subnet")).agg(F.max_by("node", F.struct(prio, "ip")).alias("winner"))
+    return f.interface.groupBy(F.expr("ip div 256").alias("subnet"), F.col("num").alias("vrid")).agg(F.max_by("node", F.struct(prio, "ip")).alias("winner"))
 
 
 @question("SELECT event_type AS kind, count(*) AS n, min(event_id) AS first_id, count(DISTINCT user_id) AS files FROM events GROUP BY event_type")
@@ -333,3 +347,42 @@ def interface_properties(f: Facts):
 @question("SELECT hostname, asn, active FROM node")
 def node_properties(f: Facts):
     return f.node.select("hostname", "asn", "active")
+
+
+# Answers: structural covers, row numbers, excluded rows
+
+
+@question("SELECT hostname, role FROM node WHERE role = 'FRANCE' AND active OR hostname = 'n3'")
+def excluded_rows(f: Facts):
+    """Rows that a list of exclusions covers; an exclusion covers a row that has all of its fields, nested ones and members of lists too."""
+    return answers.covered(f.node.select("hostname", "role", "active"), [{"role": "FRANCE", "active": True}, {"hostname": "n3"}]).select("hostname", "role")
+
+
+@question("SELECT row_number() OVER (ORDER BY asn, hostname) AS id, hostname, asn FROM node")
+def answer_row_ids(f: Facts):
+    return answers.row_ids(f.node.select("hostname", "asn"), ["asn", "hostname"])
+
+
+@question("SELECT node, network, plen, protocol, admin, metric, row_number() OVER (ORDER BY node, network, plen, protocol, admin, metric, tag) AS place FROM route")
+def ordered_routes(f: Facts):
+    """Routes in the answers' order: node, network, length, protocol, and on to a total order."""
+    got = answers.row_ids(f.route.select("node", "network", "plen", "protocol", "admin", "metric", "tag"), ["node", "network", "plen", "protocol", "admin", "metric", "tag"], "place")
+    return got.drop("tag")
+
+
+@question("SELECT hostname, '{\"node\":' || node || ',\"hostname\":\"' || hostname || '\",\"asn\":' || asn || '}' AS model FROM node")
+def vi_model(f: Facts):
+    return f.node.select("hostname", F.to_json(F.struct("node", "hostname", "asn")).alias("model"))
+
+
+@question("SELECT kind, nodes, issues, sample FROM (SELECT event_type AS kind, count(DISTINCT user_id) AS nodes, count(*) AS issues, min(event_id) AS sample FROM events GROUP BY event_type)")
+def init_issues(f: Facts):
+    """Issues of a kind merged over the nodes that have them."""
+    return f.table("events").groupBy(F.col("event_type").alias("kind")).agg(F.count_distinct("user_id").alias("nodes"), F.count("*").alias("issues"), F.min("event_id").alias("sample"))
+
+
+@question("SELECT lo_vlan, node, num FROM (SELECT unnest(range(vlan_lo, vlan_hi + 1)) AS lo_vlan, node, num FROM interface) WHERE lo_vlan IN (SELECT unnest(range(vlan_lo, vlan_hi + 1)) FROM interface WHERE NOT active)")
+def vlan_range_index(f: Facts):
+    """Interfaces by VLAN, for VLANs that an interface which is down has as well."""
+    v = lambda i: i.select(F.explode(F.sequence("vlan_lo", "vlan_hi")).alias("lo_vlan"), "node", "num")
+    return v(f.interface).join(v(f.interface.where("not active")).select("lo_vlan").distinct(), "lo_vlan", "left_semi")

@@ -85,6 +85,27 @@ class Facts:
         p = self.table("part").select((F.col("p_size") % 8).cast("long").alias("acl"), F.col("p_partkey").cast("long").alias("line"), (F.col("p_size") * 1000 + F.col("p_partkey") % 17 * 150).cast("long").alias("lo"))
         return p.select("acl", "line", "lo", (F.col("lo") + 200 + F.col("line") % 5 * 300).alias("hi"), F.when(F.col("line") % 3 != 0, "PERMIT").otherwise("DENY").alias("action"))
 
+    @property
+    def address(self) -> DataFrame:
+        """All addresses of interfaces: their own, and on the fourth port the gateway that both nodes of a subnet share."""
+        own = self.interface.select("ip", "node", "num", "active")
+        shared = self.interface.where("num = 4").select((F.col("ip") - F.col("ip") % 256 + 254).alias("ip"), "node", "num", "active")
+        return own.unionByName(shared)
+
+    @property
+    def structure(self) -> DataFrame:
+        """Defined structures: a name, its kind, and how many lines define it."""
+        return self.table("part").select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("kind"), F.col("p_size").cast("long").alias("lines"))
+
+    @property
+    def reference_to(self) -> DataFrame:
+        """References to structures, some by a wrong kind and some to a name that isn't there."""
+        p = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("kind"))
+        got = self.table("lineitem").join(p, "l_partkey")
+        name = F.concat(F.lit("s"), (F.col("l_partkey") + F.when(F.col("l_orderkey") % 1300 == 0, 100000000).otherwise(0)).cast("string"))
+        kind = F.when((F.col("l_orderkey") % 350 == 0) | (F.col("l_partkey") % 9 == 4), "other").otherwise(F.col("kind"))
+        return got.select(name.alias("name"), kind.alias("kind"), F.col("l_returnflag").alias("context"), F.col("l_orderkey").cast("long").alias("line"))
+
     @property
     def rule(self) -> DataFrame:
         """Filters of about sixteen lines over destination, port and protocol; some lines call the filter after the next."""
@@ -134,6 +155,9 @@ CTE = {
     "tunnel": "SELECT src * 1000003 + dst AS id, 167772161 + src // 2 * 256 + src % 2 * 128 AS local_ip, 167772161 + dst // 2 * 256 + dst % 2 * 128 AS remote_ip, [src % 3, 5 + src % 2] AS ike_proposals, (src + dst) % 7 + CASE WHEN src % 8 = 1 THEN 1 ELSE 0 END AS ike_key, [src % 4, 9 + src % 3] AS ipsec_proposals FROM undirected WHERE NOT (src > dst AND dst % 6 = 0)",
     "route": "SELECT node, plen, raw // (1::BIGINT << (32 - plen)) * (1::BIGINT << (32 - plen)) AS network, admin, metric, protocol, tag, forwarding, peer FROM (SELECT CAST(l_suppkey AS BIGINT) AS node, CAST(8 + 4 * (l_linenumber % 5) AS INTEGER) AS plen, CAST(l_partkey AS BIGINT) * 65536 % 4294967296 AS raw, CAST(floor(l_quantity) AS BIGINT) AS admin, CAST(floor(l_extendedprice) AS BIGINT) AS metric, l_returnflag AS protocol, CAST(l_orderkey AS BIGINT) AS tag, l_partkey % 13 <> 0 AS forwarding, CAST(l_orderkey % 997 AS BIGINT) AS peer FROM lineitem)",
     "acl": "SELECT acl, line, lo, lo + 200 + line % 5 * 300 AS hi, CASE WHEN line % 3 <> 0 THEN 'PERMIT' ELSE 'DENY' END AS action FROM (SELECT CAST(p_size % 8 AS BIGINT) AS acl, CAST(p_partkey AS BIGINT) AS line, CAST(p_size * 1000 + p_partkey % 17 * 150 AS BIGINT) AS lo FROM part)",
+    "address": "SELECT ip, node, num, active FROM interface UNION ALL SELECT ip - ip % 256 + 254, node, num, active FROM interface WHERE num = 4",
+    "structure": "SELECT 's' || p_partkey AS name, p_brand AS kind, CAST(p_size AS BIGINT) AS lines FROM part",
+    "reference_to": "SELECT 's' || (l_partkey + CASE WHEN l_orderkey % 1300 = 0 THEN 100000000 ELSE 0 END) AS name, CASE WHEN l_orderkey % 350 = 0 OR l_partkey % 9 = 4 THEN 'other' ELSE p_brand END AS kind, l_returnflag AS context, CAST(l_orderkey AS BIGINT) AS line FROM lineitem JOIN part ON p_partkey = l_partkey",
     "rule": "SELECT k // 16 AS acl, k % 16 AS line, CASE WHEN k % 3 <> 1 THEN 'PERMIT' ELSE 'DENY' END AS action, net AS dst_network, plen AS dst_plen, net AS dst_lo, net + CASE plen WHEN 0 THEN 4294967296 WHEN 16 THEN 65536 ELSE 256 END - 1 AS dst_hi, lo AS port_lo, lo + 5000 * (1 + k % 6) - CASE WHEN k % 50 = 13 THEN 40000 ELSE 1 END AS port_hi, proto AS proto_lo, CASE WHEN proto = 0 THEN 255 ELSE proto END AS proto_hi, CASE WHEN k % 16 = 9 AND k // 16 % 3 = 0 THEN k // 16 + 2 END AS callee FROM (SELECT *, CASE plen WHEN 0 THEN 0 WHEN 16 THEN s % 4 * 65536 ELSE s % 4 * 65536 + k % 5 * 256 END AS net, s % 10 * 5000 AS lo, CASE WHEN k % 4 = 0 THEN 0 WHEN k % 4 = 1 THEN 17 ELSE 6 END AS proto FROM (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) AS s, CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 16 ELSE 24 END AS plen FROM part))",
     "header": "SELECT CAST(event_id AS BIGINT) AS flow, CAST(event_id % (SELECT (max(p_partkey) + 15) // 16 FROM part) AS BIGINT) AS acl, CAST(event_id % 4 * 65536 + user_id % 5 * 256 + event_id % 256 AS BIGINT) AS dst, 167772160 + user_id % 1000 AS src, CAST(event_id AS BIGINT) * 7919 % 65536 AS port, CASE WHEN event_id % 3 = 0 THEN 17 WHEN event_id % 11 = 0 THEN 1 ELSE 6 END AS proto, event_id % 256 AS tcp_flags FROM events",
     "flow": "SELECT CAST(event_id AS BIGINT) AS flow, CAST(event_id % (SELECT count(*) FROM supplier) AS BIGINT) AS node, CAST(event_id % 200 * 65536 + user_id % 256 * 256 + event_id % 256 AS BIGINT) AS dst, CAST(event_id % 65536 AS BIGINT) AS port FROM events",
