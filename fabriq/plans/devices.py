@@ -19,15 +19,15 @@ def mlag_properties(f: Facts):
     return f.interface.groupBy("node", F.col("channel").alias("mlag")).agg(F.min("num").alias("local_interface"), F.max("num").alias("peer_interface")).withColumn("peer", peer)
 
 
-@question("SELECT node, num, ip, list_contains([ip, ip + 1, ip + 2], 167772160 + node // 2 * 256 + node % 2 * 128 + 4) AS virtual FROM interface WHERE num BETWEEN 2 AND 4")
+@question("SELECT node, num, ip, list_contains([ip, ip + 1, ip + 2], 167772160 + node // 2 * 256 + node % 2 * 128 + 4) AS virtual FROM interface")
 def virtual_addresses(f: Facts):
     wanted = F.lit(167772160).cast("long") + F.expr("node div 2") * 256 + F.col("node") % 2 * 128 + 4
-    return f.interface.where("num between 2 and 4").select("node", "num", "ip", F.array_contains(F.array("ip", F.col("ip") + 1, F.col("ip") + 2), wanted).alias("virtual"))
+    return f.interface.select("node", "num", "ip", F.array_contains(F.array("ip", F.col("ip") + 1, F.col("ip") + 2), wanted).alias("virtual"))
 
 
-@question("SELECT node, num AS pool, unnest(range(0, num % 3 + 1)) AS member, ip + num AS address FROM interface WHERE num > 4")
+@question("SELECT node, num AS pool, unnest(range(0, num % 3 + 1)) AS member, ip + num AS address FROM interface")
 def load_balancer_servers(f: Facts):
-    i = f.interface.where("num > 4")
+    i = f.interface
     return i.select("node", F.col("num").alias("pool"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("num") % 3)).alias("member"), (F.col("ip") + F.col("num")).alias("address"))
 
 
@@ -73,11 +73,11 @@ def advertise_only_active(f: Facts):
     return f.route.where("protocol = 'R'").select(*key).distinct().join(active.select(*key), key, "left_semi")
 
 
-@question("SELECT a.node, b.node AS remote_node, a.num FROM interface a JOIN interface b ON a.num = b.num AND b.ip BETWEEN a.ip // 256 * 256 AND a.ip // 256 * 256 + 255 WHERE a.node <> b.node AND a.num = 1")
+@question("SELECT a.node, b.node AS remote_node, a.num FROM interface a JOIN interface b ON a.num = b.num AND b.ip BETWEEN a.ip // 256 * 256 AND a.ip // 256 * 256 + 255 WHERE a.node <> b.node")
 def bgp_dynamic_peers(f: Facts):
-    own = f.interface.where("num = 1").withColumn("range", F.expr("ip div 256"))
-    other = own.select("range", F.col("node").alias("remote_node"))
-    return own.join(other, "range").where("node <> remote_node").select("node", "remote_node", "num")
+    own = f.interface.withColumn("range", F.expr("ip div 256"))
+    other = own.select("range", "num", F.col("node").alias("remote_node"))
+    return own.join(other, ["range", "num"]).where("node <> remote_node").select("node", "remote_node", "num")
 
 
 @question("SELECT least(kind, kind) AS kind, n FROM (SELECT 'node' AS kind, count(*) AS n FROM node UNION ALL SELECT 'interface', count(*) FROM interface UNION ALL SELECT 'route', count(*) FROM route UNION ALL SELECT 'filter line', count(*) FROM acl)")

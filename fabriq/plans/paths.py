@@ -47,10 +47,15 @@ def edges_isis(f: Facts):
     return f.undirected.where(wide | area).select(F.col("src").alias("node"), F.col("dst").alias("remote_node"), F.when(wide & area, "L1_L2").when(wide, "L2").otherwise("L1").alias("level"))
 
 
-@question("SELECT a.node, b.node AS remote_node, a.vni FROM (SELECT node, 5000 + node % 17 AS vni, ip FROM interface WHERE num = 1 AND active) a JOIN (SELECT node, 5000 + node % 17 AS vni, ip FROM interface WHERE num = 1 AND active) b ON a.vni = b.vni AND a.ip <> b.ip")
+VXLAN = "(SELECT node, num, 5000 + node // 8 * 10 + num AS vni, ip, CASE WHEN num % 5 = 0 THEN 8472 ELSE 4789 END AS port, num % 2 = 0 AS multicast FROM interface WHERE active)"
+
+
+@question(f"SELECT a.node, b.node AS remote_node, a.vni FROM {VXLAN} a JOIN {VXLAN} b ON a.vni = b.vni AND a.port = b.port AND a.multicast = b.multicast AND a.node <> b.node")
 def edges_vxlan(f: Facts):
-    v = f.interface.where("num = 1 and active").select("node", (5000 + F.col("node") % 17).alias("vni"), "ip")
-    return v.join(v.withColumnsRenamed({"node": "remote_node", "ip": "remote_ip"}), "vni").where("ip <> remote_ip").select("node", "remote_node", "vni")
+    """Ends of one VNI with the same port and way of flooding; a VNI has the nodes of a group of eight."""
+    port = F.when(F.col("num") % 5 == 0, 8472).otherwise(4789)
+    v = f.interface.where("active").select("node", (5000 + F.expr("node div 8") * 10 + F.col("num")).alias("vni"), port.alias("port"), (F.col("num") % 2 == 0).alias("multicast"))
+    return v.join(v.withColumnRenamed("node", "remote_node"), ["vni", "port", "multicast"]).where("node <> remote_node").select("node", "remote_node", "vni")
 
 
 @question("SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edge")
@@ -58,10 +63,10 @@ def undirected_edges(f: Facts):
     return f.edge.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-@question("SELECT min(node) AS a, max(node) AS b, ip // 256 AS subnet FROM (SELECT DISTINCT node, ip FROM interface WHERE num = 2 AND active) GROUP BY ip // 256 HAVING count(*) = 2")
+@question("SELECT min(node) AS a, max(node) AS b, ip // 256 AS subnet, num FROM interface WHERE active GROUP BY ip // 256, num HAVING count(*) = 2")
 def point_to_point_links(f: Facts):
-    two = f.interface.where("num = 2 and active").groupBy(F.expr("ip div 256").alias("subnet")).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
-    return two.where("n = 2").select("a", "b", "subnet")
+    two = f.interface.where("active").groupBy(F.expr("ip div 256").alias("subnet"), "num").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
+    return two.where("n = 2").select("a", "b", "subnet", "num")
 
 
 @question("SELECT DISTINCT a.role, b.role AS remote_role FROM edge e JOIN node a ON a.node = e.src JOIN node b ON b.node = e.dst")

@@ -29,7 +29,7 @@ def ask(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import devices, filters, paths, questions, ribs, sessions  # noqa: F401  they fill the registry
+    from . import devices, filters, forward, paths, questions, ribs, sessions  # noqa: F401  they fill the registry
 
     return {name: (lambda spark, sf_dir, f=f: f(Facts(spark, sf_dir))) for name, f in QUESTIONS.items()}
 

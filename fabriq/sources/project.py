@@ -85,6 +85,40 @@ class Facts:
         p = self.table("part").select((F.col("p_size") % 8).cast("long").alias("acl"), F.col("p_partkey").cast("long").alias("line"), (F.col("p_size") * 1000 + F.col("p_partkey") % 17 * 150).cast("long").alias("lo"))
         return p.select("acl", "line", "lo", (F.col("lo") + 200 + F.col("line") % 5 * 300).alias("hi"), F.when(F.col("line") % 3 != 0, "PERMIT").otherwise("DENY").alias("action"))
 
+    @property
+    def port(self) -> DataFrame:
+        """Interfaces of the forwarding graph: two links out of each node, numbered over all nodes, and a LAN for each."""
+        s = self.table("supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+        s = s.crossJoin(F.broadcast(s.agg(F.count("*").alias("n"))))  # one row
+        k = s.select("s", "n", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("k")).withColumn("d", F.when(F.col("k") == 0, F.col("s") + 1).otherwise(3 * F.col("s") + 1) % F.col("n")).where("s <> d")
+        at = F.lit(3221225472).cast("long") + (2 * F.col("s") + F.col("k")) * 4
+        link = 2 * F.col("s") + F.col("k")
+        a = k.select(F.col("s").alias("node"), (4 * link).alias("num"), (at + 1).alias("ip"), F.lit(30).alias("plen"), F.col("d").alias("peer"), (4 * link + 1).alias("peer_num"))
+        b = k.select(F.col("d").alias("node"), (4 * link + 1).alias("num"), (at + 2).alias("ip"), F.lit(30).alias("plen"), F.col("s").alias("peer"), (4 * link).alias("peer_num"))
+        none = F.lit(None).cast("long")
+        lan = s.select(F.col("s").alias("node"), (8 * F.col("s") + 2).alias("num"), (F.lit(167772161).cast("long") + F.col("s") * 256).alias("ip"), F.lit(24).alias("plen"), none.alias("peer"), none.alias("peer_num"))
+        return a.unionByName(b).unionByName(lan)
+
+    @property
+    def static(self) -> DataFrame:
+        """Routes to every LAN over one or both links of a node, some to nowhere, and a route to what the next hop is looked up in."""
+        p = self.port
+        out = p.where("num % 4 = 0").select("node", "peer", "peer_num", ((F.col("num") / 4).cast("long") % 2).alias("k"))
+        hop = p.select(F.col("num").alias("peer_num"), F.col("ip").alias("next_hop"))
+        via = out.join(hop, "peer_num").select("node", "k", "next_hop")
+        dest = p.where("plen = 24").select(F.col("node").alias("dest"))
+        got = via.crossJoin(dest).where("node <> dest and (k = 0 or node % 3 = dest % 3)")
+        null = (F.col("dest") % 17 == 5) & (F.col("node") % 7 == 3)
+        return got.select("node", (F.lit(167772160).cast("long") + F.col("dest") * 256).alias("network"), F.lit(24).alias("plen"), F.lit("static").alias("protocol"), F.when(~null, F.col("next_hop")).alias("next_hop"), F.lit(None).cast("long").alias("out")).distinct()
+
+    @property
+    def packet(self) -> DataFrame:
+        """Probes from nodes' LANs to addresses in LANs, in few that aren't there."""
+        n = self.table("supplier").agg(F.count("*").alias("n"))  # one row
+        e, i = self.table("events").crossJoin(F.broadcast(n)), F.col("event_id")
+        lan = F.lit(167772160).cast("long")
+        return e.select(i.cast("long").alias("flow"), (i % F.col("n")).cast("long").alias("node"), F.lit(None).cast("long").alias("num"), (lan + i % F.col("n") * 256 + 1).cast("long").alias("src"), (lan + (i * 7) % (F.col("n") + 2) * 256 + i % 3).cast("long").alias("dst"), F.when(i % 4 == 0, 17).otherwise(6).cast("long").alias("protocol"), (i % 3000).cast("long").alias("port"))
+
     @property
     def address(self) -> DataFrame:
         """All addresses of interfaces: their own, and on the fourth port the gateway that both nodes of a subnet share."""
@@ -155,6 +189,10 @@ CTE = {
     "tunnel": "SELECT src * 1000003 + dst AS id, 167772161 + src // 2 * 256 + src % 2 * 128 AS local_ip, 167772161 + dst // 2 * 256 + dst % 2 * 128 AS remote_ip, [src % 3, 5 + src % 2] AS ike_proposals, (src + dst) % 7 + CASE WHEN src % 8 = 1 THEN 1 ELSE 0 END AS ike_key, [src % 4, 9 + src % 3] AS ipsec_proposals FROM undirected WHERE NOT (src > dst AND dst % 6 = 0)",
     "route": "SELECT node, plen, raw // (1::BIGINT << (32 - plen)) * (1::BIGINT << (32 - plen)) AS network, admin, metric, protocol, tag, forwarding, peer FROM (SELECT CAST(l_suppkey AS BIGINT) AS node, CAST(8 + 4 * (l_linenumber % 5) AS INTEGER) AS plen, CAST(l_partkey AS BIGINT) * 65536 % 4294967296 AS raw, CAST(floor(l_quantity) AS BIGINT) AS admin, CAST(floor(l_extendedprice) AS BIGINT) AS metric, l_returnflag AS protocol, CAST(l_orderkey AS BIGINT) AS tag, l_partkey % 13 <> 0 AS forwarding, CAST(l_orderkey % 997 AS BIGINT) AS peer FROM lineitem)",
     "acl": "SELECT acl, line, lo, lo + 200 + line % 5 * 300 AS hi, CASE WHEN line % 3 <> 0 THEN 'PERMIT' ELSE 'DENY' END AS action FROM (SELECT CAST(p_size % 8 AS BIGINT) AS acl, CAST(p_partkey AS BIGINT) AS line, CAST(p_size * 1000 + p_partkey % 17 * 150 AS BIGINT) AS lo FROM part)",
+    "port": "SELECT s AS node, 4 * (2 * s + k) AS num, 3221225472 + (2 * s + k) * 4 + 1 AS ip, 30 AS plen, d AS peer, 4 * (2 * s + k) + 1 AS peer_num FROM lnk UNION ALL SELECT d, 4 * (2 * s + k) + 1, 3221225472 + (2 * s + k) * 4 + 2, 30, s, 4 * (2 * s + k) FROM lnk UNION ALL SELECT CAST(s_suppkey AS BIGINT), 8 * CAST(s_suppkey AS BIGINT) + 2, 167772161 + CAST(s_suppkey AS BIGINT) * 256, 24, NULL, NULL FROM supplier",
+    "lnk": "SELECT * FROM (SELECT CAST(s_suppkey AS BIGINT) AS s, k, CASE WHEN k = 0 THEN CAST(s_suppkey AS BIGINT) + 1 ELSE 3 * CAST(s_suppkey AS BIGINT) + 1 END % (SELECT count(*) FROM supplier) AS d FROM supplier, (SELECT unnest([0::BIGINT, 1::BIGINT]) AS k)) WHERE s <> d",
+    "static": "SELECT DISTINCT node, 167772160 + dest * 256 AS network, 24 AS plen, 'static' AS protocol, CASE WHEN NOT (dest % 17 = 5 AND node % 7 = 3) THEN next_hop END AS next_hop, CAST(NULL AS BIGINT) AS out FROM (SELECT s AS node, k, 3221225472 + (2 * s + k) * 4 + 2 AS next_hop FROM lnk) v, (SELECT CAST(s_suppkey AS BIGINT) AS dest FROM supplier) d WHERE node <> dest AND (k = 0 OR node % 3 = dest % 3)",
+    "packet": "SELECT CAST(event_id AS BIGINT) AS flow, CAST(event_id % n AS BIGINT) AS node, CAST(NULL AS BIGINT) AS num, CAST(167772160 + event_id % n * 256 + 1 AS BIGINT) AS src, CAST(167772160 + event_id * 7 % (n + 2) * 256 + event_id % 3 AS BIGINT) AS dst, CASE WHEN event_id % 4 = 0 THEN 17 ELSE 6 END AS protocol, CAST(event_id % 3000 AS BIGINT) AS port FROM events, (SELECT count(*) AS n FROM supplier)",
     "address": "SELECT ip, node, num, active FROM interface UNION ALL SELECT ip - ip % 256 + 254, node, num, active FROM interface WHERE num = 4",
     "structure": "SELECT 's' || p_partkey AS name, p_brand AS kind, CAST(p_size AS BIGINT) AS lines FROM part",
     "reference_to": "SELECT 's' || (l_partkey + CASE WHEN l_orderkey % 1300 = 0 THEN 100000000 ELSE 0 END) AS name, CASE WHEN l_orderkey % 350 = 0 OR l_partkey % 9 = 4 THEN 'other' ELSE p_brand END AS kind, l_returnflag AS context, CAST(l_orderkey AS BIGINT) AS line FROM lineitem JOIN part ON p_partkey = l_partkey",
