@@ -119,6 +119,32 @@ class Facts:
         lan = F.lit(167772160).cast("long")
         return e.select(i.cast("long").alias("flow"), (i % F.col("n")).cast("long").alias("node"), F.lit(None).cast("long").alias("num"), (lan + i % F.col("n") * 256 + 1).cast("long").alias("src"), (lan + (i * 7) % (F.col("n") + 2) * 256 + i % 3).cast("long").alias("dst"), F.when(i % 4 == 0, 17).otherwise(6).cast("long").alias("protocol"), (i % 3000).cast("long").alias("port"))
 
+    @property
+    def device_port(self) -> DataFrame:
+        """Interfaces by name, with what specifiers ask for."""
+        n, k = F.col("node"), F.col("num")
+        i = self.interface.join(self.node.select("node", "hostname", "role"), "node")
+        return i.select("hostname", "role", "active", F.concat(F.lit("Ethernet"), k.cast("string"), F.lit("/1")).alias("interface"), F.when(k % 2 == 0, "blue").otherwise("default").alias("vrf"), F.when(n % 3 == 0, "inside").when(k == 1, "outside").alias("zone"), F.when(k == 7, "LOOPBACK").otherwise("PHYSICAL").alias("type"), "ip")
+
+    @property
+    def device_filter(self) -> DataFrame:
+        """Filters as they are bound to interfaces."""
+        way = F.explode(F.array(F.lit("in"), F.lit("out")))
+        return self.device_port.select("*", way.alias("direction")).withColumn("filter", F.concat(F.lit("acl_"), "direction", F.lit("_"), F.col("ip") % 5))
+
+    @property
+    def names(self) -> DataFrame:
+        """Completion metadata: every name of each kind once."""
+        one = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("text")).where("text is not null").distinct()
+        from ..functions.ip import ip_str
+
+        p = self.device_port
+        parts = [one("node", self.node, "hostname"), one("interface", p, "interface"), one("vrf", p, "vrf"), one("zone", p, "zone"), one("role", self.node, "role"), one("filter", self.device_filter, "filter"), one("ip", p.select(ip_str(F.col("ip")).alias("a")), "a"), one("structure", self.structure, "name")]
+        out = parts[0]
+        for q in parts[1:]:
+            out = out.unionByName(q)
+        return out
+
     @property
     def address(self) -> DataFrame:
         """All addresses of interfaces: their own, and on the fourth port the gateway that both nodes of a subnet share."""
@@ -193,6 +219,9 @@ CTE = {
     "lnk": "SELECT * FROM (SELECT CAST(s_suppkey AS BIGINT) AS s, k, CASE WHEN k = 0 THEN CAST(s_suppkey AS BIGINT) + 1 ELSE 3 * CAST(s_suppkey AS BIGINT) + 1 END % (SELECT count(*) FROM supplier) AS d FROM supplier, (SELECT unnest([0::BIGINT, 1::BIGINT]) AS k)) WHERE s <> d",
     "static": "SELECT DISTINCT node, 167772160 + dest * 256 AS network, 24 AS plen, 'static' AS protocol, CASE WHEN NOT (dest % 17 = 5 AND node % 7 = 3) THEN next_hop END AS next_hop, CAST(NULL AS BIGINT) AS out FROM (SELECT s AS node, k, 3221225472 + (2 * s + k) * 4 + 2 AS next_hop FROM lnk) v, (SELECT CAST(s_suppkey AS BIGINT) AS dest FROM supplier) d WHERE node <> dest AND (k = 0 OR node % 3 = dest % 3)",
     "packet": "SELECT CAST(event_id AS BIGINT) AS flow, CAST(event_id % n AS BIGINT) AS node, CAST(NULL AS BIGINT) AS num, CAST(167772160 + event_id % n * 256 + 1 AS BIGINT) AS src, CAST(167772160 + event_id * 7 % (n + 2) * 256 + event_id % 3 AS BIGINT) AS dst, CASE WHEN event_id % 4 = 0 THEN 17 ELSE 6 END AS protocol, CAST(event_id % 3000 AS BIGINT) AS port FROM events, (SELECT count(*) AS n FROM supplier)",
+    "device_port": "SELECT hostname, role, i.active, 'Ethernet' || num || '/1' AS interface, CASE WHEN num % 2 = 0 THEN 'blue' ELSE 'default' END AS vrf, CASE WHEN i.node % 3 = 0 THEN 'inside' WHEN num = 1 THEN 'outside' END AS zone, CASE WHEN num = 7 THEN 'LOOPBACK' ELSE 'PHYSICAL' END AS type, ip FROM interface i JOIN node ON node.node = i.node",
+    "device_filter": "SELECT *, 'acl_' || direction || '_' || ip % 5 AS filter FROM (SELECT *, unnest(['in', 'out']) AS direction FROM device_port)",
+    "names": "SELECT 'node' AS kind, hostname AS text FROM node UNION SELECT 'interface', interface FROM device_port UNION SELECT 'vrf', vrf FROM device_port UNION SELECT 'zone', zone FROM device_port WHERE zone IS NOT NULL UNION SELECT 'role', role FROM node UNION SELECT 'filter', filter FROM device_filter UNION SELECT 'ip', (ip >> 24) || '.' || ((ip >> 16) & 255) || '.' || ((ip >> 8) & 255) || '.' || (ip & 255) FROM device_port UNION SELECT 'structure', name FROM structure",
     "address": "SELECT ip, node, num, active FROM interface UNION ALL SELECT ip - ip % 256 + 254, node, num, active FROM interface WHERE num = 4",
     "structure": "SELECT 's' || p_partkey AS name, p_brand AS kind, CAST(p_size AS BIGINT) AS lines FROM part",
     "reference_to": "SELECT 's' || (l_partkey + CASE WHEN l_orderkey % 1300 = 0 THEN 100000000 ELSE 0 END) AS name, CASE WHEN l_orderkey % 350 = 0 OR l_partkey % 9 = 4 THEN 'other' ELSE p_brand END AS kind, l_returnflag AS context, CAST(l_orderkey AS BIGINT) AS line FROM lineitem JOIN part ON p_partkey = l_partkey",
