@@ -24,8 +24,9 @@ def ip_str(ip: Column) -> Column:
     return F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))
 
 
-def ip_parse(text: Column) -> Column:
-    """Dotted quad to bigint; null if it isn't one."""
+def ip_parse(text: Column | str) -> Column:
+    """Dotted quad (a column, or its name) to bigint; null if it isn't one."""
+    text = F.col(text) if isinstance(text, str) else text
     parts = F.split(text, r"\.")
     value = lambda k: F.get(parts, F.lit(k)).cast("long")
     ok = text.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")
