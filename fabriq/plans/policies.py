@@ -48,6 +48,25 @@ def compare(routes: DataFrame, first: list[Statement], second: list[Statement],
     return b.where(differ).drop(*(f"in_{c}" for c in attributes))
 
 
+def peer_groups(peers: DataFrame, policies: dict[str, list[Statement]], routes: DataFrame, attributes: list[str], key: list[str]) -> DataFrame:
+    """(group, policy, base, key..., first_action, second_action): routes that a peer group's policies treat otherwise than its most used one.
+
+    peers: (group, peer, policy).  Policies of one name are equal and not compared; ties for the most used go to the first name.  The routes'
+    names of attributes may not begin with in_, first_ or second_.
+    """
+    use = peers.groupBy("group", "policy").agg(F.count_distinct("peer").alias("n"))
+    base = use.groupBy("group").agg(F.min(F.struct(-F.col("n"), "policy")).alias("b")).select("group", F.col("b.policy").alias("base"))
+    pairs = use.join(base, "group").where("policy <> base").select("group", "policy", "base")
+    out = None
+    for a in sorted(policies):
+        for b in sorted(policies):
+            if a != b:
+                differ = compare(routes, policies[a], policies[b], attributes).select(*key, "first_action", "second_action")
+                got = pairs.where((F.col("policy") == a) & (F.col("base") == b)).crossJoin(differ)  # the groups that use this pair of policies
+                out = got if out is None else out.unionByName(got)
+    return out
+
+
 def route_filter(net: Column, plen: Column, lines: list[tuple[int, int, int, int, str]], default: str = "DENY") -> Column:
     """First line (base, base length, least length, most length, action) that holds the prefix."""
     out = F.lit(default)

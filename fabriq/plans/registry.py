@@ -30,7 +30,7 @@ def ask(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import control, devices, filters, forward, paths, questions, resolving, ribs, sessions  # noqa: F401  they fill the registry
+    from . import control, devices, filters, forward, paths, questions, resolving, ribs, sessions, symbolics  # noqa: F401  they fill the registry
 
     return {name: (lambda spark, sf_dir, f=f: f(Facts(spark, sf_dir))) for name, f in QUESTIONS.items()}
 

@@ -145,6 +145,13 @@ class Facts:
             out = out.unionByName(q)
         return out
 
+    @property
+    def passage(self) -> DataFrame:
+        """What the edges of the graph let through: ranges of destinations and ports."""
+        a, b = F.col("src"), F.col("dst")
+        lo = a % 4 * 1000
+        return self.edge.select("src", "dst", lo.alias("to_lo"), (lo + 2999 + b % 5 * 500).alias("to_hi"), F.when(b % 3 == 0, 1000).otherwise(0).cast("long").alias("port_lo"), F.when(b % 3 == 0, 2000 + a % 7 * 100).otherwise(65535).cast("long").alias("port_hi"))
+
     @property
     def address(self) -> DataFrame:
         """All addresses of interfaces: their own, and on the fourth port the gateway that both nodes of a subnet share."""
@@ -222,6 +229,7 @@ CTE = {
     "device_port": "SELECT hostname, role, i.active, 'Ethernet' || num || '/1' AS interface, CASE WHEN num % 2 = 0 THEN 'blue' ELSE 'default' END AS vrf, CASE WHEN i.node % 3 = 0 THEN 'inside' WHEN num = 1 THEN 'outside' END AS zone, CASE WHEN num = 7 THEN 'LOOPBACK' ELSE 'PHYSICAL' END AS type, ip FROM interface i JOIN node ON node.node = i.node",
     "device_filter": "SELECT *, 'acl_' || direction || '_' || ip % 5 AS filter FROM (SELECT *, unnest(['in', 'out']) AS direction FROM device_port)",
     "names": "SELECT 'node' AS kind, hostname AS text FROM node UNION SELECT 'interface', interface FROM device_port UNION SELECT 'vrf', vrf FROM device_port UNION SELECT 'zone', zone FROM device_port WHERE zone IS NOT NULL UNION SELECT 'role', role FROM node UNION SELECT 'filter', filter FROM device_filter UNION SELECT 'ip', (ip >> 24) || '.' || ((ip >> 16) & 255) || '.' || ((ip >> 8) & 255) || '.' || (ip & 255) FROM device_port UNION SELECT 'structure', name FROM structure",
+    "passage": "SELECT src, dst, src % 4 * 1000 AS to_lo, src % 4 * 1000 + 2999 + dst % 5 * 500 AS to_hi, CASE WHEN dst % 3 = 0 THEN 1000 ELSE 0 END AS port_lo, CASE WHEN dst % 3 = 0 THEN 2000 + src % 7 * 100 ELSE 65535 END AS port_hi FROM edge",
     "address": "SELECT ip, node, num, active FROM interface UNION ALL SELECT ip - ip % 256 + 254, node, num, active FROM interface WHERE num = 4",
     "structure": "SELECT 's' || p_partkey AS name, p_brand AS kind, CAST(p_size AS BIGINT) AS lines FROM part",
     "reference_to": "SELECT 's' || (l_partkey + CASE WHEN l_orderkey % 1300 = 0 THEN 100000000 ELSE 0 END) AS name, CASE WHEN l_orderkey % 350 = 0 OR l_partkey % 9 = 4 THEN 'other' ELSE p_brand END AS kind, l_returnflag AS context, CAST(l_orderkey AS BIGINT) AS line FROM lineitem JOIN part ON p_partkey = l_partkey",
