@@ -5,7 +5,7 @@ Propagation is a shortest-path fixpoint over a product of nodes and what a route
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixpoint, tables
@@ -25,7 +25,6 @@ def area_costs(edges: DataFrame, borders: DataFrame, sources: DataFrame) -> Data
     walk = edges.select(F.struct(F.col("src").alias("n"), "area").alias("s"), F.struct(F.col("dst").alias("n"), "area").alias("d"), "weight")
     both = borders.join(borders.select("node", F.col("area").alias("other")), "node").where("area <> other")
     zero = F.lit(0).cast("long")
-    phase = lambda k: F.lit(k).alias("phase")
     key = lambda s, k: F.concat_ws("/", s["n"], s["area"], F.lit(k))
     legs = None
     for k in range(3):
@@ -36,7 +35,6 @@ def area_costs(edges: DataFrame, borders: DataFrame, sources: DataFrame) -> Data
     # a route that starts in area 0 is there already
     down = both.where("area = 0").select("node", "other").crossJoin(F.broadcast(both.sparkSession.createDataFrame([(0,), (1,)], "k int")))
     down = down.select(F.concat_ws("/", "node", F.lit(0), "k").alias("src"), F.concat_ws("/", "node", "other", F.lit(2)).alias("dst"), zero.alias("weight"))
-    del phase
     start = sources.select(F.concat_ws("/", "node", "area").alias("source"), F.concat_ws("/", "node", "area", F.lit(0)).alias("node"))
     got = fixpoint.least_cost(start, legs.unionByName(up).unionByName(down))
     parts = F.split("node", "/")
@@ -108,6 +106,8 @@ def multipath(routes: DataFrame, key: list[str], order: list[Column], path: str,
 
     The best of several is that with the least path as a text.
     """
+    if mode not in ("EXACT_PATH", "FIRST_AS", "PATH_LENGTH"):
+        raise ValueError(f"unknown mode {mode}")
     text = F.array_join(F.transform(path, lambda a: a.cast("string")), " ")
     equal = tables.best(routes, key, order).withColumn("__text", text)
     first = equal.groupBy(*key).agg(F.min_by(path, "__text").alias("__best"))
@@ -117,10 +117,8 @@ def multipath(routes: DataFrame, key: list[str], order: list[Column], path: str,
             ok = F.col(path) == F.col("__best")
         case "FIRST_AS":
             ok = F.get(path, F.lit(0)).eqNullSafe(F.get("__best", F.lit(0))) & (F.size(path) == F.size("__best"))
-        case "PATH_LENGTH":
-            ok = F.size(path) == F.size("__best")
         case _:
-            raise ValueError(f"unknown mode {mode}")
+            ok = F.size(path) == F.size("__best")
     return got.where(ok).drop("__text", "__best")
 
 
@@ -242,6 +240,3 @@ def unusable_vlans(interfaces: DataFrame) -> DataFrame:
     wanted = interfaces.select("node", F.col("vlan_lo").alias("vlan")).distinct()
     return wanted.join(carried, ["node", "vlan"], "left_anti")
 
-
-def ranked(df: DataFrame, key: list[str], order: list[Column], name: str = "place") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

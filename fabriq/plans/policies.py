@@ -37,15 +37,17 @@ def run(routes: DataFrame, policy: list[Statement], default: bool) -> DataFrame:
 
 
 def compare(routes: DataFrame, first: list[Statement], second: list[Statement], attributes: list[str], default: bool = False) -> DataFrame:
-    """Routes on which two policies differ, with both actions and outcomes."""
-    keep = routes.withColumns({f"in_{c}": F.col(c) for c in attributes})
-    a = run(keep, first, default).withColumnsRenamed({"action": "first_action"} | {c: f"first_{c}" for c in attributes})
-    a = a.withColumns({c: F.col(f"in_{c}") for c in attributes})
-    b = run(a, second, default).withColumnsRenamed({"action": "second_action"} | {c: f"second_{c}" for c in attributes})
+    """Routes on which two policies differ, with both actions and the outcomes of attributes; other columns stay as they came in."""
+    touched = list(dict.fromkeys([*attributes, *(c for s in [*first, *second] for c in s.set)]))
+    keep = routes.withColumns({f"in_{c}": F.col(c) for c in touched})
+    a = run(keep, first, default).withColumnRenamed("action", "first_action").withColumns({f"first_{c}": F.col(c) for c in attributes})
+    a = a.withColumns({c: F.col(f"in_{c}") for c in touched})  # the second policy starts from what the first one got
+    b = run(a, second, default).withColumnRenamed("action", "second_action").withColumns({f"second_{c}": F.col(c) for c in attributes})
     differ = F.col("first_action") != F.col("second_action")
     for c in attributes:
         differ = differ | ((F.col("first_action") == "PERMIT") & ~F.col(f"first_{c}").eqNullSafe(F.col(f"second_{c}")))
-    return b.where(differ).drop(*(f"in_{c}" for c in attributes))
+    others = [c for c in touched if c not in attributes]
+    return b.withColumns({c: F.col(f"in_{c}") for c in others}).where(differ).drop(*attributes, *(f"in_{c}" for c in touched))
 
 
 def peer_groups(peers: DataFrame, policies: dict[str, list[Statement]], routes: DataFrame, attributes: list[str], key: list[str]) -> DataFrame:
