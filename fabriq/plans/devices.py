@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tables
 from ..sources.project import Facts
+from ..streaming import monitor
 from .registry import question
 
 
@@ -84,3 +85,17 @@ def bgp_dynamic_peers(f: Facts):
 def snapshot_summary(f: Facts):
     one = lambda k, d: d.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
     return one("node", f.node).union(one("interface", f.interface)).union(one("route", f.route)).union(one("filter line", f.acl))
+
+
+@question("SELECT CAST(epoch(time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP))) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(f: Facts):
+    """Route events in windows of ten minutes, as the stream counts them."""
+    got = monitor.windowed(f.table("events"))
+    return got.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@question("SELECT user_id, CAST(floor(epoch(min(t))) AS BIGINT) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT user_id, CAST(ts AS TIMESTAMP) AS t, CASE WHEN CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, run")
+def event_sessions(f: Facts):
+    """Sessions of a user's events: a pause of half an hour ends one."""
+    got = monitor.sessions(f.table("events"))
+    return got.select("user_id", F.unix_timestamp("start").alias("start"), "n")
