@@ -398,7 +398,7 @@ def test_large_tables_of_small_files_are_not_broadcast(spark):
     assert lineage.counted(small.where("k < 0"))[1] == 0
 
 
-FILTERS = ["symbolic_validation", "permit_and_deny", "filter_line_reachability_headers", "filter_blockers"]
+FILTERS = ["symbolic_validation", "permit_and_deny", "filter_line_reachability_headers", "filter_blockers", "search_filters_headers"]
 
 
 @pytest.mark.parametrize("name", FILTERS)
