@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fabriq.functions import ip6
-from fabriq.operators import answers, control, fixpoint, forwarding, headers, intervals, lineage, sessions, symbolic, traces
+from fabriq.operators import answers, control, fixpoint, forwarding, headers, intervals, lineage, search, sessions, symbolic, traces
 from fabriq.plans import registry, specifiers
 from fabriq.plans.policies import Statement, peer_groups
 
@@ -406,3 +406,60 @@ def test_filters_have_no_broadcast_by_the_size_of_files(spark, data, name, monke
     monkeypatch.setattr(lineage, "ROWS", 10, raising=False)
     monkeypatch.setattr(lineage, "BYTES", 0, raising=False)
     assert "BroadcastHashJoin" not in registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+# Searches source by source
+
+
+@pytest.fixture
+def tangle(spark):
+    """A random graph with dead ends, edges of weight 0, sources that no edge has, null nodes, and sources with several starts."""
+    dice = random.Random(5)
+    edges = [(dice.randrange(40), dice.randrange(40), dice.randrange(4)) for _ in range(70)] + [(None, 3, 1), (4, None, 1)]
+    start = [(s, s) for s in range(0, 45, 2)] + [(1, 7), (1, 9), (1, 7), (3, 99), (5, None)]
+    return spark.createDataFrame(start, "source long, node long"), spark.createDataFrame(edges, "src long, dst long, weight long")
+
+
+def both_ways(monkeypatch, ask):
+    """What ask says source by source, which has to be what it says by rounds."""
+    made = []
+    real = search.by_source
+    monkeypatch.setattr(search, "by_source", lambda *a, **k: made.append(1) or real(*a, **k))
+    one = got(ask())
+    assert made
+    monkeypatch.setattr(search, "EDGES", 0)
+    assert got(ask()) == one and len(made) == 1
+    return one
+
+
+def test_reach_goes_source_by_source(tangle, monkeypatch):
+    start, edges = tangle
+    assert both_ways(monkeypatch, lambda: fixpoint.reach(start, edges, keep=["source"]))
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_least_cost_goes_source_by_source(tangle, monkeypatch, most):
+    start, edges = tangle
+    assert both_ways(monkeypatch, lambda: fixpoint.least_cost(start, edges, most=most))
+
+
+def test_path_vector_goes_source_by_source(tangle, monkeypatch):
+    start, edges = tangle
+    origins = start.withColumnRenamed("source", "prefix").where("node is not null")
+    monkeypatch.setattr(search, "STATES", 5)
+    assert both_ways(monkeypatch, lambda: fixpoint.path_vector(origins, edges).select("prefix", "node", F.col("path").cast("string")))
+
+
+def test_side_by_side_goes_source_by_source(tangle, monkeypatch):
+    start, edges = tangle
+    assert both_ways(monkeypatch, lambda: fixpoint.side_by_side(start, edges, edges.where("dst % 5 <> 1"), ["source"]))
+
+
+def test_rounds_and_odd_weights_are_left_to_rounds(spark, monkeypatch):
+    monkeypatch.setattr(search, "by_source", None)
+    start = spark.createDataFrame([(1, 1)], "source long, node long")
+    edges = spark.createDataFrame([(1, 2, -1), (2, 3, 5)], "src long, dst long, weight long")
+    same(fixpoint.least_cost(start, edges), [(1, 1, 0), (1, 2, -1), (1, 3, 4)])
+    same(fixpoint.least_cost(start, edges.withColumn("weight", F.lit(0.5))), [(1, 1, 0), (1, 2, 0.5), (1, 3, 1.0)])
+    with pytest.raises(RuntimeError):
+        fixpoint.reach(start, edges, keep=["source"], rounds=1)
