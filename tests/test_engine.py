@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,3 +464,30 @@ def test_rounds_and_odd_weights_are_left_to_rounds(spark, monkeypatch):
     same(fixpoint.least_cost(start, edges.withColumn("weight", F.lit(0.5))), [(1, 1, 0), (1, 2, 0.5), (1, 3, 1.0)])
     with pytest.raises(RuntimeError):
         fixpoint.reach(start, edges, keep=["source"], rounds=1)
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_walks_to_goals_against_sql_of_random_graphs(spark, monkeypatch, bound):
+    """Kinds, goals without edges, nodes that loop on themselves, more goals than a word has bits; source by source and in rounds."""
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(40), rnd.randrange(40), rnd.choice([None, None, 0, 1])) for _ in range(45)] + [(3, 3, None), (None, 4, None), (4, None, 1)]
+    goals = [(k, k % 3) for k in range(100)] + [(5, 2), (None, 0)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (src BIGINT, dst BIGINT, kind BIGINT)").executemany("INSERT INTO e VALUES (?, ?, ?)", edges)
+    con.execute("CREATE TABLE g (goal BIGINT, kind BIGINT)").executemany("INSERT INTO g VALUES (?, ?)", goals)
+    walk = """WITH RECURSIVE hop AS (SELECT DISTINCT goal, src, dst FROM g JOIN e ON e.src IS NOT NULL AND dst IS NOT NULL AND goal <> src AND (e.kind IS NULL OR e.kind = g.kind)), r AS (SELECT goal, src AS a, dst AS b FROM hop UNION SELECT r.goal, a, h.dst FROM r JOIN hop h ON h.goal = r.goal AND h.src = r.b),
+     looping AS (SELECT DISTINCT r.goal, r.a AS node FROM r JOIN r c ON c.goal = r.goal AND c.a = r.b AND c.b = r.b), ends AS (SELECT goal, a AS node, bool_or(b = goal) AS ok, bool_or(b <> goal AND NOT EXISTS (SELECT 1 FROM hop h WHERE h.goal = r.goal AND h.src = r.b)) AS bad FROM r GROUP BY ALL) """
+    monkeypatch.setattr(fixpoint.search, "EDGES", bound)
+    e, g = spark.createDataFrame(edges, "src long, dst long, kind long"), spark.createDataFrame(goals, "goal long, kind long")
+    for what, sql in (("looping", "SELECT goal, node FROM looping"), ("divided", "SELECT goal, node FROM ends LEFT JOIN looping l USING (goal, node) WHERE ok AND (bad OR l.node IS NOT NULL)")):
+        want = sorted(con.execute(walk + sql).fetchall())
+        assert want and sorted(map(tuple, fixpoint.walks(g, e, what).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["detect_loops", "multipath_consistency"])
+def test_walks_write_no_table_for_each_round_or_destination(spark, data, monkeypatch, name):
+    written = []
+    for module in (fixpoint, lineage):
+        monkeypatch.setattr(module, "cut", lambda df, *a, f=lineage.cut: written.append(0) or f(df, *a))
+    registry.queries()[name](spark, data).collect()
+    assert len(written) <= 1
