@@ -491,3 +491,18 @@ def test_walks_write_no_table_for_each_round_or_destination(spark, data, monkeyp
         monkeypatch.setattr(module, "cut", lambda df, *a, f=lineage.cut: written.append(0) or f(df, *a))
     registry.queries()[name](spark, data).collect()
     assert len(written) <= 1
+
+
+def test_forwarding_looks_up_what_is_asked(spark, monkeypatch):
+    """Routes are made for the addresses that packets have at their nodes, not for all nodes and destinations, and next hops are resolved once for each."""
+    from fabriq.plans import forward
+    from fabriq.sources.project import Facts
+
+    f = Facts(spark, "/root/testdata/sf0.001")
+    every, asked = got(f.static), spark.createDataFrame([(1, 167772160 + 256 * 3 + 7), (1, 167772160 + 256 * 3 + 9), (2, 5), (2, None), (4, 167772160)], "node long, ip long")
+    wanted = {(1, 167772160 + 256 * 3), (4, 167772160)}
+    assert got(f.static_routes(asked)) == [r for r in every if r[:2] in wanted] and len(set(every)) == len(every)
+    counts, real = [], forwarding.cut
+    monkeypatch.setattr(forwarding, "cut", lambda df, *a: counts.append((out := real(df, *a))._rows) or out)
+    forward._fib(f)
+    assert max(counts) <= 2 * f.node.count()
