@@ -506,3 +506,38 @@ def test_forwarding_looks_up_what_is_asked(spark, monkeypatch):
     monkeypatch.setattr(forwarding, "cut", lambda df, *a: counts.append((out := real(df, *a))._rows) or out)
     forward._fib(f)
     assert max(counts) <= 2 * f.node.count()
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_ways_to_goals_against_sql_of_random_graphs(spark, monkeypatch, bound):
+    """Kinds, goals and starts without edges, null and more than once, more goals than are gone through at once; all ways and the first three."""
+    rnd = random.Random(7)
+    edges = [(rnd.randrange(30), rnd.randrange(30), rnd.choice([None, None, 0, 1])) for _ in range(50)] + [(3, 3, None), (None, 4, None), (4, None, 1)]
+    goals = [(k, k % 3) for k in range(70)] + [(5, 2), (5, 2), (None, 0)]
+    starts = [(k,) for k in range(32)] + [(7,), (8,), (8,), (None,)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (src BIGINT, dst BIGINT, kind BIGINT)").executemany("INSERT INTO e VALUES (?, ?, ?)", edges)
+    con.execute("CREATE TABLE g (goal BIGINT, kind BIGINT)").executemany("INSERT INTO g VALUES (?, ?)", goals)
+    con.execute("CREATE TABLE s (node BIGINT)").executemany("INSERT INTO s VALUES (?)", starts)
+    sql = """WITH RECURSIVE hop AS (SELECT DISTINCT goal, src, dst FROM g JOIN e ON src IS NOT NULL AND dst IS NOT NULL AND goal <> src AND (e.kind IS NULL OR e.kind = g.kind)),
+     t AS (SELECT goal, s.node AS start, s.node, [s.node] AS path, false AS looped FROM g, s UNION ALL SELECT t.goal, t.start, h.dst, list_append(t.path, h.dst), list_contains(t.path, h.dst) FROM t JOIN hop h ON h.goal = t.goal AND h.src = t.node WHERE NOT looped AND len(path) <= 4),
+     u AS (SELECT *, EXISTS (SELECT 1 FROM hop h WHERE h.goal = t.goal AND h.src = t.node) AS goes_on FROM t),
+     v AS (SELECT goal, start, array_to_string(path, '>') AS path, CASE WHEN looped THEN 'LOOP' WHEN node = goal THEN 'ACCEPTED' WHEN goes_on THEN 'TTL_EXPIRED' ELSE 'NO_ROUTE' END AS disposition FROM u WHERE looped OR NOT goes_on OR len(path) = 5)
+     SELECT goal, start, path, disposition, traces FROM (SELECT *, row_number() OVER (PARTITION BY goal, start ORDER BY path) AS k, count(*) OVER (PARTITION BY goal, start) AS traces FROM v) WHERE k <= """
+    monkeypatch.setattr(fixpoint.search, "EDGES", bound)
+    e, g, s = spark.createDataFrame(edges, "src long, dst long, kind long"), spark.createDataFrame(goals, "goal long, kind long"), spark.createDataFrame(starts, "node long")
+    for first in (None, 3):
+        want = con.execute(sql + str(first or 1_000_000)).fetchall()
+        assert {r[3] for r in want} == set(fixpoint.search.WAYS) and max(r[4] for r in want) > 3
+        same = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+        assert same(fixpoint.ways(g, s, e, 4, first).collect()) == same(want)
+
+
+@pytest.mark.parametrize("name", ["traceroute", "traceroute_pruned"])
+def test_traces_write_no_table_for_each_hop_and_sort_nothing(spark, data, monkeypatch, name):
+    written = []
+    for module in (fixpoint, lineage):
+        monkeypatch.setattr(module, "cut", lambda df, *a, f=lineage.cut: written.append((out := f(df, *a))._rows) or out)
+    nodes = spark.read.parquet(f"{data}/supplier.parquet").count()
+    plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and max(written) <= 2 * nodes
