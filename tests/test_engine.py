@@ -541,3 +541,31 @@ def test_traces_write_no_table_for_each_hop_and_sort_nothing(spark, data, monkey
     nodes = spark.read.parquet(f"{data}/supplier.parquet").count()
     plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and max(written) <= 2 * nodes
+
+
+@pytest.mark.parametrize("weights", [[1], [0, 1, 7], [3, search.LIGHT + 1]])
+def test_sources_are_searched_together(weights):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(len(weights))
+    graphs = [(400, np.arange(399), np.arange(1, 400))] + [(n, *rng.integers(0, n, (2, m))) for n, m in rng.integers(1, 80, (30, 2))]  # a chain of more levels than a byte has
+    for n, src, dst in graphs:
+        g = search.Graph(pa.array(np.arange(n)), pa.table({"src": src, "dst": dst, "weight": rng.choice(weights, len(src))}))
+        at, start = np.append(np.arange(64), 0), rng.integers(0, n, 65)  # source 0 has two starts
+        for most in (None, 5):
+            one, all_ = g.costs(at, start, 64, n, most).reshape(64, n).T, g.together(at, start, 64, n, most)
+            assert ((all_ == np.iinfo(all_.dtype).max) == (one == search.FAR)).all()
+            assert (np.where(one == search.FAR, 0, one) == np.where(one == search.FAR, 0, all_)).all()
+
+
+def test_answers_of_many_nodes_are_written_small(spark, tmp_path):
+    import os
+
+    n = 6000
+    edges = spark.range(n).selectExpr("id as src", f"explode(array((id + 1) % {n}, (3 * id + 1) % {n})) as dst", "1 + id % 7 as weight").where("src <> dst")
+    costs = fixpoint.least_cost(spark.range(256).selectExpr("id as source", "id as node"), edges)
+    loops = fixpoint.walks(spark.range(256).selectExpr("id as goal", "0L as kind"), edges.selectExpr("src", "dst", "0L as kind"), "looping")
+    for k, (df, most) in enumerate(((costs, 2), (loops, 1))):  # bytes a row
+        df.write.parquet(f"{tmp_path}/{k}")
+        assert sum(os.path.getsize(f) for f in tmp_path.glob(f"{k}/*.parquet")) < most * spark.read.parquet(f"{tmp_path}/{k}").count()
