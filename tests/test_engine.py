@@ -591,3 +591,15 @@ def test_filters_of_few_lines_are_worked_on_in_tasks(spark, monkeypatch):
     small = made.where("acl < 25")
     assert said(headers.blockers(small, ["acl"], fields)) == [r for r in got[0] if r[0] < 25]
     assert said(headers.compared(small.limit(0), small, ["acl"], fields))
+
+
+def test_path_texts_are_made_in_tasks(spark, monkeypatch):
+    """As by path_vector()'s lists, which large graphs and nodes without edges of one type take."""
+    edges = spark.range(40).selectExpr("id as src", "explode(array((id + 1) % 40, (3 * id + 1) % 40)) as dst").where("src <> dst and src <> 7")
+    origins = spark.createDataFrame([(k, k) for k in (0, 5, 7, 99)] + [(3, None)], "prefix long, node long")
+    said = lambda: sorted(map(tuple, fixpoint.path_texts(origins, edges).collect()), key=str)
+    lists = fixpoint.path_vector(origins, edges).collect()
+    want = sorted([(r.prefix, r.node, len(r.path), ",".join(map(str, r.path))) for r in lists], key=str)
+    with monkeypatch.context() as m:
+        m.setattr(fixpoint, "path_vector", None)  # no lists in Spark's rows
+        assert said() == want and len(want) > 80
