@@ -1,5 +1,6 @@
 """Operators on hand-made cases: rules, ties, nulls, empty tables."""
 
+import collections
 import itertools
 import random
 
@@ -617,3 +618,44 @@ def test_best_states_are_chosen_where_they_are_found(spark, monkeypatch):
     few = said()
     monkeypatch.setattr(search, "EDGES", 0)
     assert few == said() and (1, 100, 0, 0) in few and (2, 300, 0, 0) in few and (3, None, None, 0) in few and len(few) > 500
+
+
+@pytest.mark.parametrize("name", ["traceroute_hops", "bidirectional_traceroute", "subnet_multipath_consistency"])
+def test_packets_go_on_to_their_ends(spark, data, name):
+    """No time to live ends them; at most six nodes were passed before."""
+    rows = registry.queries()[name](spark, data).collect()
+    assert not any("TTL_EXPIRED" in str(r) for r in rows)
+    if name == "traceroute_hops":
+        assert max(collections.Counter(r["flow"] for r in rows if r["to_node"] is not None).values()) > 6
+    else:
+        assert any("LOOP" in r["ends"] for r in rows)
+
+
+def test_fates_and_hops_are_those_of_all_ways(spark):
+    """As by listing the ways, over a chain of twenty nodes with branches, loops, filters and rewriting."""
+    n = 20
+    i = spark.createDataFrame([(k, 2 * k, 8 * k + 1, 30) for k in range(n)] + [((k + 1) % n, 2 * k + 1, 8 * k + 2, 30) for k in range(n)] + [(k, 100 + k, 1001 + 4 * k, 30) for k in range(n)], "node long, num long, ip long, plen int")
+    links = spark.createDataFrame([r for k in range(n) for r in ((k, 2 * k, (k + 1) % n, 2 * k + 1), ((k + 1) % n, 2 * k + 1, k, 2 * k))], "node long, num long, remote_node long, remote_num long")
+    on = lambda k, net: (k, net, 30, "static", 8 * k + 2, None)
+    back = lambda k, net: (k, net, 30, "static", 8 * (k - 1) + 1, None)
+    routes = [on(k, 1076) for k in range(19)] + [on(k, 1040) for k in range(10)] + [back(4, 1040), (15, 1076, 30, "static", None, 115)] + [on(k, 1060) for k in range(15)] + [on(k, 2000) for k in range(n)] + [on(12, 3000), (13, 3000, 30, "static", None, None)]
+    routes = spark.createDataFrame(routes, "node long, network long, plen int, protocol string, next_hop long, out long")
+    fib = forwarding.fib(forwarding.connected_routes(i).unionByName(routes))
+    net = forwarding.Network(fib, i, links, denied_in=(F.col("num") == 15) & (F.col("port") == 1), denied_out=(F.col("out") == 4) & (F.col("port") == 2), rewritten=[((F.col("node") == 3) & (F.col("dst") == 1061), F.lit(1041).cast("long"))])
+    asked = [(k, goal, port) for k in (0, 3, 5, 12, 14) for goal in (1077, 1041, 1042, 1061, 2001, 3001, 9999) for port in (0, 1, 2)]
+    packets = spark.createDataFrame([(f, k, None, 9, goal, 6, port) for f, (k, goal, port) in enumerate(asked)], "flow long, node long, num long, src long, dst long, protocol long, port long")
+    ways = {}
+    for r in forwarding.trace(packets, net, 60).collect():
+        ways.setdefault(r["flow"], []).append((r["disposition"], r["path"]))
+    assert {d for w in ways.values() for d, _ in w} >= {"ACCEPTED", "LOOP", "NO_ROUTE", "NULL_ROUTED", "DENIED_IN", "DENIED_OUT", "DELIVERED_TO_SUBNET"} and max(len(p) for w in ways.values() for _, p in w) > 15
+    probes = packets.select("flow", "node", F.col("dst").alias("goal"), F.col("port").alias("header"))
+    headers_ = [{"port": k} for k in range(3)]
+    fates = {(r["node"], r["goal"], r["header"]): (r["ends"], sorted(r["taken"])) for r in forwarding.fates(probes, net, headers_).collect()}
+    hops = {}
+    for r in forwarding.hops(probes, net, headers_).collect():
+        hops.setdefault(r["flow"], []).append(r)
+    for f, one in enumerate(asked):
+        w = ways[f]
+        assert fates[one] == (",".join(sorted({d for d, _ in w})), sorted({p[-1] for d, p in w if d == "ACCEPTED"}))
+        assert {r["disposition"] for r in hops[f]} - {None} == {d for d, _ in w} - {"LOOP"}
+        assert {(r["node"], r["to_node"]) for r in hops[f] if r["to_node"] is not None} == {e for _, p in w for e in zip(p, p[1:])} and len(set(hops[f])) == len(hops[f])
