@@ -663,12 +663,13 @@ def test_fates_and_hops_are_those_of_all_ways(spark):
 
 @pytest.mark.parametrize("first", [None, 3])
 def test_answers_of_ways_are_written_small(spark, tmp_path, first):
-    """Way by way, each for many goals: less than a byte a row, where the rows of goal by goal took over eight."""
+    """Way by way, each for many goals."""
     import os
 
     n = 3000
     edges = spark.range(n).selectExpr("id as src", f"explode(array((id + 1) % {n}, (3 * id + 1) % {n})) as dst", "cast(null as long) as kind").where("src <> dst")
-    goals, starts = spark.range(2000).selectExpr("id as goal", "id % 3 as kind"), spark.range(0, n, 20).selectExpr("id as node")
+    goals, starts = spark.range(500).selectExpr("id as goal", "0L as kind"), spark.range(n).selectExpr("id as node")
     fixpoint.ways(goals, starts, edges, 4, first).write.parquet(f"{tmp_path}/ways")
     rows = spark.read.parquet(f"{tmp_path}/ways").count()
-    assert rows > 500_000 and sum(os.path.getsize(f) for f in tmp_path.glob("ways/*.parquet")) < rows
+    size = sum(os.path.getsize(f) for f in tmp_path.glob("ways/*.parquet")) / rows
+    assert rows > 500_000 and size < 0.9, size
